@@ -25,10 +25,21 @@ def congested() -> Column:
                   F.col("harmonic_speed_kph") < fixed.JAM_SHARE * F.col("speed_limit_kph"))
 
 
+def positions_above(limit: Column) -> Column:
+    """How many of the 19 percentiles lie above `limit`.
+
+    Nineteen comparisons instead of a filter over the array: a lambda is interpreted for every
+    element, plain comparisons are compiled with the rest of the stage.
+    """
+    above = [F.coalesce((F.get("speed_percentiles_kph", F.lit(i)) > limit).cast("int"), F.lit(0))
+             for i in range(len(fixed.PERCENTILE_LEVELS))]
+    return sum(above[1:], above[0])
+
+
 def over_limit_share() -> Column:
-    """Share of the hour's vehicles above the limit, 0 to 0.95, read from the percentiles."""
-    above = F.filter("speed_percentiles_kph", lambda speed: speed > F.col("speed_limit_kph"))
-    return F.size(above) / F.lit(fixed.PERCENTILE_STEPS)
+    """Share of the hour's vehicles above the limit, 0 to 0.95; NULL without a distribution."""
+    return F.when(F.col("speed_percentiles_kph").isNotNull(),
+                  positions_above(F.col("speed_limit_kph")) / F.lit(fixed.PERCENTILE_STEPS))
 
 
 def spread_ratio() -> Column:

@@ -39,6 +39,6 @@ def measured(hourly: DataFrame, segments: DataFrame, job: Job) -> DataFrame:
         "speed_percentiles_kph", "frc", "speed_limit_kph", "length_m", "h3_r9",
         "min_lon", "min_lat", "max_lon", "max_lat",
         timeaxis.is_weekend(F.col("observation_date")).alias("is_weekend"),
-        F.hour(timeaxis.local_time()).alias("hour_local"),
+        timeaxis.hour_of_day(timeaxis.local_hours()).alias("hour_local"),
         measures.speeding().alias("speeding"),
         measures.congested().alias("congested"))

@@ -33,7 +33,7 @@ def cell_conditions(hourly: DataFrame, segments: DataFrame, job: Job) -> DataFra
     readable = hourly.filter(has_distribution())
     hours = road_hours(readable, segments.filter(has_limit()), job).select(
         "h3_r9", "length_m",
-        timeaxis.hour_of_week(timeaxis.local_time()).alias("slot"),
+        timeaxis.hour_of_week(timeaxis.local_hours()).alias("slot"),
         measures.over_limit_share().alias("over_limit"),
         measures.wide_spread().alias("wide_spread"),
         measures.jammed().alias("jammed"))
@@ -124,7 +124,7 @@ def route_hours(tables: RoadTables, job: Job, way_ids: list[int], nearby_street:
     hours = tables.hourly.filter(has_distribution() & in_window(job)).drop("tile_id", "map_version")
     return hours.join(roads.filter(in_region(job)).drop("tile_id", "map_version"), "dseg_id").select(
         "dseg_id", "street_name", "speed_limit_kph", "length_m", "geometry_wkt", "on_route",
-        F.hour(timeaxis.local_time()).alias("hour_local"),
+        timeaxis.hour_of_day(timeaxis.local_hours()).alias("hour_local"),
         "harmonic_speed_kph", "speed_percentiles_kph")
 
 
@@ -202,9 +202,9 @@ def segment_over_limit(hours: DataFrame) -> DataFrame:
     The percentiles leave the top 5 % unread, so a road where everyone speeds counts 95 of 100
     and the share is stretched accordingly. Without a limit the share is NULL.
     """
-    above = F.filter("speed_percentiles_kph", lambda v: v > F.col("speed_limit_kph"))
     share = F.when(F.col("speed_limit_kph").isNotNull(),
-                   100.0 * F.size(above) / F.size("speed_percentiles_kph"))
+                   100.0 * measures.positions_above(F.col("speed_limit_kph"))
+                   / len(fixed.PERCENTILE_LEVELS))
     return hours.filter("on_route").groupBy("dseg_id").agg(
         F.min("street_name").alias("street_name"), F.min("geometry_wkt").alias("geometry_wkt"),
         F.round(F.min("speed_limit_kph"), 1).alias("speed_limit_kph"),

@@ -99,7 +99,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     h = 5 + F.col("l_quantity") * 2
     order = F.col("l_orderkey")
-    curve = F.transform(F.sequence(F.lit(1), F.lit(19)), lambda i: h * (0.5 + 0.05 * i))
+    curve = F.array(*[h * (0.5 + 0.05 * i) for i in range(1, 20)])
     return items.select(
         F.col("l_partkey").alias("dseg_id"),
         F.date_add(F.lit("2025-09-01").cast("date"), (order % 7).cast("int")).alias("observation_date"),
@@ -122,9 +122,8 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part.filter("p_size > 8").withColumn("vintage_year", F.explode(vintages)) \
         .withColumn("aadt", F.when(F.col("vintage_year") == 2025, base).otherwise(base * 0.97))
     aadt = F.col("aadt")
-    by_hour = F.transform(F.sequence(F.lit(0), F.lit(167)), lambda s:
-                          aadt * F.when(s < 120, 1.05).otherwise(0.85)
-                          * (1 + s % 24 * (23 - s % 24)) / F.lit(2048))
+    by_hour = F.array(*[aadt * (1.05 if s < 120 else 0.85) * (1 + s % 24 * (23 - s % 24)) / 2048
+                        for s in range(fixed.SLOTS_PER_WEEK)])
     return rows.select(
         "region", "vintage_year", k.alias("segment_id"), "frc", "aadt",
         F.array(*[aadt * 1.05] * 5, *[aadt * 0.85] * 2).alias("aadt_by_day"),

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadlens.functions import grid
+from roadlens.functions.predicates import in_vintage
+from roadlens.operators.hours import measured
 from roadlens.params import Job
-from roadlens.plans import risk
+from roadlens.plans import map_report, risk, speed_report, volume_report
 from roadlens.session import tune
 from workload import adapters
 
@@ -59,3 +62,333 @@ def risky_km_by_hexagon(spark, sf_dir):
 @register
 def hexagon_slots(spark, sf_dir):
     return rounded(risk.hexagon_slots(_cell_slots(spark, sf_dir)))
+
+
+# Speed report ----------------------------------------------------------------
+
+def _measured(spark, sf_dir):
+    return measured(adapters.hourly(spark, sf_dir), adapters.segments(spark, sf_dir), JOB)
+
+
+@register
+def network_extent(spark, sf_dir):
+    return speed_report.network_extent(adapters.segments(spark, sf_dir))
+
+
+@register
+def observation_extent(spark, sf_dir):
+    return speed_report.observation_extent(adapters.hourly(spark, sf_dir), JOB)
+
+
+@register
+def count_by_class(spark, sf_dir):
+    return speed_report.count_by(adapters.segments(spark, sf_dir), "frc")
+
+
+@register
+def top_forms(spark, sf_dir):
+    return speed_report.top_categories(adapters.segments(spark, sf_dir), "form_of_way", 8)
+
+
+@register
+def speed_limit_histogram(spark, sf_dir):
+    return speed_report.histogram(adapters.segments(spark, sf_dir), F.col("speed_limit_kph"), 0, 140, 28)
+
+
+@register
+def segment_length_histogram(spark, sf_dir):
+    return rounded(speed_report.histogram(adapters.segments(spark, sf_dir), F.col("length_m"), 0, 500, 50))
+
+
+@register
+def speed_histogram(spark, sf_dir):
+    return rounded(speed_report.histogram(_measured(spark, sf_dir), F.col("avg_speed_kph"), 0, 150, 60))
+
+
+@register
+def network_focus(spark, sf_dir):
+    return rounded(speed_report.mean_corner(adapters.segments(spark, sf_dir)), lon=6, lat=6)
+
+
+@register
+def longest_major_roads(spark, sf_dir):
+    return speed_report.longest_major_roads(adapters.segments(spark, sf_dir), 25000)
+
+
+@register
+def major_roads_at_focus(spark, sf_dir):
+    roads = adapters.segments(spark, sf_dir)
+    box = speed_report.around_focus(speed_report.mean_corner(roads), 0.12, 0.06)
+    return speed_report.major_roads_in(roads, box, 4000)
+
+
+@register
+def coverage_by_class(spark, sf_dir):
+    return speed_report.coverage_by_class(adapters.hourly(spark, sf_dir),
+                                          adapters.segments(spark, sf_dir), JOB)
+
+
+@register
+def coverage_by_hour(spark, sf_dir):
+    return speed_report.coverage_by_hour(adapters.hourly(spark, sf_dir),
+                                         adapters.segments(spark, sf_dir), JOB)
+
+
+@register
+def three_averages(spark, sf_dir):
+    return speed_report.three_averages(_measured(spark, sf_dir))
+
+
+@register
+def speed_sample(spark, sf_dir):
+    return speed_report.speed_sample(_measured(spark, sf_dir), 0.02, 150000)
+
+
+@register
+def percentile_curve(spark, sf_dir):
+    return speed_report.percentile_curve(_measured(spark, sf_dir))
+
+
+@register
+def congestion_ratio(spark, sf_dir):
+    return rounded(speed_report.congestion_ratio(_measured(spark, sf_dir)), ratio=6)
+
+
+@register
+def congestion_ratio_histogram(spark, sf_dir):
+    ratios = speed_report.congestion_ratio(_measured(spark, sf_dir))
+    return rounded(speed_report.histogram(ratios, F.col("ratio"), 0, 2, 50))
+
+
+@register
+def median_congestion_ratio(spark, sf_dir):
+    return rounded(speed_report.median_ratio(speed_report.congestion_ratio(_measured(spark, sf_dir))))
+
+
+@register
+def speed_by_class_hour(spark, sf_dir):
+    return speed_report.speed_by_class_hour(_measured(spark, sf_dir))
+
+
+@register
+def speed_pivot(spark, sf_dir):
+    return speed_report.speed_pivot(_measured(spark, sf_dir))
+
+
+@register
+def speeding_by_hour(spark, sf_dir):
+    return speed_report.speeding_by_hour(_measured(spark, sf_dir))
+
+
+@register
+def speeding_by_class(spark, sf_dir):
+    return speed_report.speeding_by_class(_measured(spark, sf_dir))
+
+
+@register
+def cell_congestion(spark, sf_dir):
+    return speed_report.cell_congestion(_measured(spark, sf_dir))
+
+
+@register
+def most_congested_cells(spark, sf_dir):
+    roads = adapters.segments(spark, sf_dir)
+    box = speed_report.around_focus(speed_report.mean_corner(roads), 0.12, 0.06)
+    return speed_report.most_congested(speed_report.cell_congestion(_measured(spark, sf_dir), box))
+
+
+# Volume report ---------------------------------------------------------------
+
+def _vintage(spark, sf_dir):
+    return adapters.volumes(spark, sf_dir).filter(in_vintage(JOB))
+
+
+@register
+def volume_summary(spark, sf_dir):
+    return volume_report.volume_summary(adapters.volumes(spark, sf_dir))
+
+
+@register
+def busiest_focus(spark, sf_dir):
+    return rounded(volume_report.busiest_focus(_vintage(spark, sf_dir)), lon=6, lat=6)
+
+
+@register
+def busiest_at_focus(spark, sf_dir):
+    roads = _vintage(spark, sf_dir)
+    box = speed_report.around_focus(volume_report.busiest_focus(roads), 0.12, 0.06)
+    return volume_report.busiest_in(roads, box, 1500).drop("aadt_by_day")
+
+
+@register
+def coverage_report(spark, sf_dir):
+    return rounded(volume_report.coverage_report(adapters.coverage(spark, sf_dir)))
+
+
+@register
+def class_coverage(spark, sf_dir):
+    return rounded(volume_report.class_coverage(adapters.volumes(spark, sf_dir),
+                                                adapters.coverage(spark, sf_dir)))
+
+
+@register
+def volume_by_class(spark, sf_dir):
+    return volume_report.volumes_by_class(_vintage(spark, sf_dir))
+
+
+@register
+def weekly_profile(spark, sf_dir):
+    return rounded(volume_report.weekly_profile(_vintage(spark, sf_dir)))
+
+
+@register
+def day_shape(spark, sf_dir):
+    return rounded(volume_report.day_shape(volume_report.weekly_profile(_vintage(spark, sf_dir))))
+
+
+@register
+def exposure_per_cell(spark, sf_dir):
+    return volume_report.exposure_per_cell(_vintage(spark, sf_dir))
+
+
+@register
+def exposure_at_focus(spark, sf_dir):
+    roads = _vintage(spark, sf_dir)
+    box = speed_report.around_focus(volume_report.busiest_focus(roads), 0.12, 0.06)
+    return volume_report.exposure_per_cell(roads, box)
+
+
+@register
+def osm_way_keys(spark, sf_dir):
+    return volume_report.osm_way_keys(_vintage(spark, sf_dir))
+
+
+@register
+def gers_keys(spark, sf_dir):
+    return volume_report.gers_keys(_vintage(spark, sf_dir))
+
+
+@register
+def peak_speed_by_exposure(spark, sf_dir):
+    return volume_report.peak_speed_by_exposure(
+        _vintage(spark, sf_dir), adapters.segments(spark, sf_dir), adapters.hourly(spark, sf_dir), JOB)
+
+
+@register
+def vintage_growth(spark, sf_dir):
+    return rounded(volume_report.vintage_growth(adapters.volumes(spark, sf_dir),
+                                                adapters.coverage(spark, sf_dir), 2024, 2025))
+
+
+# Map report ------------------------------------------------------------------
+
+def _roads(spark, sf_dir):
+    return map_report.roads(adapters.map_segments(spark, sf_dir))
+
+
+@register
+def road_speeds(spark, sf_dir):
+    return _roads(spark, sf_dir).select("id", "road_class", "name", "limit_mph", "typical_mph",
+                                        "freeflow_mph")
+
+
+@register
+def layer_extents(spark, sf_dir):
+    return map_report.layer_extents(adapters.road_tables(spark, sf_dir))
+
+
+@register
+def signal_focus(spark, sf_dir):
+    return rounded(map_report.signal_focus(adapters.traffic_signals(spark, sf_dir)), lon=6, lat=6)
+
+
+@register
+def driveable_at_focus(spark, sf_dir):
+    focus = map_report.signal_focus(adapters.traffic_signals(spark, sf_dir))
+    box = speed_report.around_focus(focus, 0.015, 0.01)
+    return map_report.driveable_in(_roads(spark, sf_dir), box, 3000).drop("geometry")
+
+
+@register
+def limit_share(spark, sf_dir):
+    return map_report.limit_share(_roads(spark, sf_dir))
+
+
+@register
+def fill_rates(spark, sf_dir):
+    return rounded(map_report.fill_rates(adapters.map_segments(spark, sf_dir)))
+
+
+@register
+def speed_quartiles(spark, sf_dir):
+    return map_report.speed_quartiles(_roads(spark, sf_dir))
+
+
+@register
+def signs_by_type(spark, sf_dir):
+    return speed_report.count_by(adapters.traffic_signs(spark, sf_dir), "subtype", "signs")
+
+
+@register
+def signals_per_cell(spark, sf_dir):
+    return map_report.signals_per_cell(adapters.traffic_signals(spark, sf_dir),
+                                       grid.LEVEL_FOR_RESOLUTION[8])
+
+
+@register
+def connector_degree(spark, sf_dir):
+    return map_report.connector_degree(_roads(spark, sf_dir))
+
+
+@register
+def signpost_readout(spark, sf_dir):
+    return map_report.signpost_readout(adapters.signposts(spark, sf_dir), _roads(spark, sf_dir))
+
+
+@register
+def conditional_limits(spark, sf_dir):
+    limits = map_report.conditional_limits(adapters.map_segments(spark, sf_dir))
+    return limits.select("id", "name", "value", "unit", F.concat_ws(",", "mode").alias("mode"))
+
+
+@register
+def signals_by_exposure(spark, sf_dir):
+    return map_report.signals_by_exposure(adapters.traffic_signals(spark, sf_dir),
+                                          _vintage(spark, sf_dir), grid.LEVEL_FOR_RESOLUTION[9])
+
+
+# A driver against the road ---------------------------------------------------
+
+def _route(spark, sf_dir):
+    # The ways of three neighbouring parts, and the parts of one name and limit beside them.
+    return risk.route_hours(adapters.road_tables(spark, sf_dir), JOB,
+                            [4000010, 4000011, 4000012, 4000026], "red widget", 40)
+
+
+@register
+def route_profile(spark, sf_dir):
+    return rounded(risk.route_profile(_route(spark, sf_dir)))
+
+
+@register
+def speed_on_distribution(spark, sf_dir):
+    return risk.speed_on_distribution(_route(spark, sf_dir), 50, [3, 8, 12, 17], "route", "beside it")
+
+
+@register
+def segment_over_limit(spark, sf_dir):
+    return risk.segment_over_limit(_route(spark, sf_dir))
+
+
+@register
+def trip_segments(spark, sf_dir):
+    """Orders as trips over the ways of the parts they contain."""
+    trips = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("trip_id"), (4000000 + F.col("l_partkey")).alias("osm_way_id"))
+    return risk.trip_segments(trips, adapters.segments(spark, sf_dir))
+
+
+@register
+def segment_features(spark, sf_dir):
+    return risk.segment_features(adapters.segments(spark, sf_dir),
+                                 ["dseg_id", "frc", "speed_limit_kph", "street_name"])
