@@ -17,9 +17,6 @@ LEVEL_FOR_RESOLUTION = {4: 10, 6: 13, 8: 15, 9: 17}
 _H3_RESOLUTION_SHIFT = 52
 _H3_DIGITS = 15
 
-_SPREAD_STEPS = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
-                 (2, 0x3333333333333333), (1, 0x5555555555555555)]
-
 
 def h3_parent(cell: Column, resolution: int) -> Column:
     """Parent id (hex text) of an H3 id (hex text) at a coarser resolution."""
@@ -32,19 +29,14 @@ def h3_parent(cell: Column, resolution: int) -> Column:
 
 
 def _spread_bits(value: Column) -> Column:
-    """Move bit i of `value` to bit 2i."""
-    for shift, mask in _SPREAD_STEPS:
-        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
-    return value
+    """Move bit i of `value` to bit 2i: its binary digits read in base four."""
+    return F.conv(F.bin(value), 4, 10).cast("bigint")
 
 
-def _gather_bits(value: Column) -> Column:
-    """Undo `_spread_bits`, reading every second bit."""
-    value = value.bitwiseAND(F.lit(_SPREAD_STEPS[-1][1]))
-    for (shift, _), mask in zip(reversed(_SPREAD_STEPS),
-                                [m for _, m in reversed(_SPREAD_STEPS[:-1])] + [0xFFFFFFFF]):
-        value = value.bitwiseOR(F.shiftright(value, shift)).bitwiseAND(F.lit(mask))
-    return value
+def _gather_bits(cell: Column, of_row: bool) -> Column:
+    """Column or row of a Morton key: each base-four digit holds one bit of both."""
+    digits = F.translate(F.conv(cell.cast("string"), 10, 4), "0123", "0011" if of_row else "0101")
+    return F.conv(digits, 2, 10).cast("bigint")
 
 
 def grid_units(degrees: Column, offset: float, level: int) -> Column:
@@ -54,7 +46,7 @@ def grid_units(degrees: Column, offset: float, level: int) -> Column:
 
 def cell_of_indices(column: Column, row: Column) -> Column:
     """Morton key of grid column and row."""
-    return _spread_bits(column).bitwiseOR(F.shiftleft(_spread_bits(row), 1))
+    return _spread_bits(column) + 2 * _spread_bits(row)
 
 
 def cell_of_point(lon: Column, lat: Column, level: int) -> Column:
@@ -81,12 +73,11 @@ def grid_parent(cell: Column, level: int, parent_level: int) -> Column:
 
 
 def centre_lon(cell: Column, level: int) -> Column:
-    return (_gather_bits(cell) + F.lit(0.5)) * F.lit(360.0 / (1 << level)) - F.lit(180.0)
+    return (_gather_bits(cell, of_row=False) + F.lit(0.5)) * F.lit(360.0 / (1 << level)) - F.lit(180.0)
 
 
 def centre_lat(cell: Column, level: int) -> Column:
-    return (_gather_bits(F.shiftright(cell, 1)) + F.lit(0.5)) * F.lit(360.0 / (1 << level)) \
-        - F.lit(90.0)
+    return (_gather_bits(cell, of_row=True) + F.lit(0.5)) * F.lit(360.0 / (1 << level)) - F.lit(90.0)
 
 
 def cells_of_line(vertices: Column, level: int) -> Column:

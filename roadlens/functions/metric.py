@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: published geodetic constants ------------------------------
 EARTH_RADIUS_M = 6371008.8
@@ -35,74 +38,74 @@ def planar_m(x_a: Column, y_a: Column, x_b: Column, y_b: Column) -> Column:
     return F.sqrt((x_a - x_b) * (x_a - x_b) + (y_a - y_b) * (y_a - y_b))
 
 
-def _to_osgb36(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Latitude and longitude in radians on the Airy ellipsoid (good to about 5 m)."""
+def _national_grid_arrays(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """WGS84 degrees to National Grid metres: datum shift, then the transverse Mercator series."""
     a, b = WGS84_AXES
-    e2 = 1 - (b * b) / (a * a)
-    phi, lam = F.radians(lat), F.radians(lon)
-    nu = F.lit(a) / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
-    x, y, z = nu * F.cos(phi) * F.cos(lam), nu * F.cos(phi) * F.sin(lam), (1 - e2) * nu * F.sin(phi)
+    phi, lam = np.radians(lat), np.radians(lon)
+    nu = a / np.sqrt(1 - (1 - b * b / (a * a)) * np.sin(phi) ** 2)
+    point = np.stack([nu * np.cos(phi) * np.cos(lam), nu * np.cos(phi) * np.sin(lam),
+                      b * b / (a * a) * nu * np.sin(phi)])
 
-    tx, ty, tz = OSGB_SHIFT_M
-    rx, ry, rz = (math.radians(seconds / 3600) for seconds in OSGB_ROTATION_SECONDS)
+    rx, ry, rz = np.radians(np.array(OSGB_ROTATION_SECONDS) / 3600)
     grow = 1 + OSGB_SCALE_PPM * 1e-6
-    x2 = tx + grow * x - rz * y + ry * z
-    y2 = ty + rz * x + grow * y - rx * z
-    z2 = tz - ry * x + rx * y + grow * z
+    turn = np.array([[grow, -rz, ry], [rz, grow, -rx], [-ry, rx, grow]])
+    x, y, z = turn @ point + np.array(OSGB_SHIFT_M)[:, None]
 
     a, b = AIRY_AXES
-    e2 = 1 - (b * b) / (a * a)
-    flat = F.sqrt(x2 * x2 + y2 * y2)
-    # Closed form by Bowring: below a millimetre at the surface of the earth, no iteration.
-    beta = F.atan2(z2 * a, flat * b)
-    ep2 = (a * a - b * b) / (b * b)
-    phi2 = F.atan2(z2 + ep2 * b * F.pow(F.sin(beta), 3), flat - e2 * a * F.pow(F.cos(beta), 3))
-    return phi2, F.atan2(y2, x2)
-
-
-def national_grid(lon: Column, lat: Column) -> Column:
-    """Struct of `easting` and `northing` on the British National Grid, in metres."""
-    phi, lam = _to_osgb36(lon, lat)
-    a, b = AIRY_AXES
-    f0 = NATIONAL_GRID_SCALE
-    phi0, lam0 = (math.radians(degrees) for degrees in NATIONAL_GRID_ORIGIN_DEGREES)
-    e2 = 1 - (b * b) / (a * a)
-    n = (a - b) / (a + b)
-
-    sin2 = F.sin(phi) * F.sin(phi)
-    nu = a * f0 / F.sqrt(1 - e2 * sin2)
-    rho = a * f0 * (1 - e2) / F.pow(1 - e2 * sin2, 1.5)
+    e2, n = 1 - b * b / (a * a), (a - b) / (a + b)
+    flat = np.hypot(x, y)
+    beta = np.arctan2(z * a, flat * b)  # Bowring: exact to below a millimetre on the ground
+    phi = np.arctan2(z + (a * a - b * b) / b * np.sin(beta) ** 3, flat - e2 * a * np.cos(beta) ** 3)
+    phi0, lam0 = np.radians(NATIONAL_GRID_ORIGIN_DEGREES)
+    d, dphi, sphi = np.arctan2(y, x) - lam0, phi - phi0, phi + phi0
+
+    a, b = a * NATIONAL_GRID_SCALE, b * NATIONAL_GRID_SCALE
+    sin, cos, tan2 = np.sin(phi), np.cos(phi), np.tan(phi) ** 2
+    nu, rho = a / np.sqrt(1 - e2 * sin ** 2), a * (1 - e2) / (1 - e2 * sin ** 2) ** 1.5
     eta2 = nu / rho - 1
-    dphi, sphi = phi - phi0, phi + phi0
-    arc = b * f0 * (
-        (1 + n + 1.25 * n ** 2 + 1.25 * n ** 3) * dphi
-        - (3 * n + 3 * n ** 2 + 2.625 * n ** 3) * F.sin(dphi) * F.cos(sphi)
-        + (1.875 * n ** 2 + 1.875 * n ** 3) * F.sin(2 * dphi) * F.cos(2 * sphi)
-        - (35.0 / 24) * n ** 3 * F.sin(3 * dphi) * F.cos(3 * sphi))
-
-    cosp, tan2 = F.cos(phi), F.tan(phi) * F.tan(phi)
-    d = lam - lam0
-    half = nu * F.sin(phi) * cosp / 2
-    quartic = nu / 24 * F.sin(phi) * F.pow(cosp, 3) * (5 - tan2 + 9 * eta2)
-    sextic = nu / 720 * F.sin(phi) * F.pow(cosp, 5) * (61 - 58 * tan2 + tan2 * tan2)
-    linear = nu * cosp
-    cubic = nu / 6 * F.pow(cosp, 3) * (nu / rho - tan2)
-    quintic = nu / 120 * F.pow(cosp, 5) * (5 - 18 * tan2 + tan2 * tan2 + 14 * eta2
-                                           - 58 * tan2 * eta2)
-    easting, northing = NATIONAL_GRID_FALSE_ORIGIN_M
-    return F.struct(
-        (easting + linear * d + cubic * F.pow(d, 3) + quintic * F.pow(d, 5)).alias("easting"),
-        (northing + arc + half * d * d + quartic * F.pow(d, 4) + sextic * F.pow(d, 6))
-        .alias("northing"))
-
-
-def local_plane(lon: Column, lat: Column, centre_lat: Column | float) -> Column:
-    """Struct of metres east and north for regions without a grid of their own.
-
-    Equirectangular about `centre_lat`: distances east to west are off by a few per cent at the
-    northern and southern edge of a region that spans two degrees.
+    arc = b * ((1 + n + 1.25 * n ** 2 + 1.25 * n ** 3) * dphi
+               - (3 * n + 3 * n ** 2 + 2.625 * n ** 3) * np.sin(dphi) * np.cos(sphi)
+               + (1.875 * n ** 2 + 1.875 * n ** 3) * np.sin(2 * dphi) * np.cos(2 * sphi)
+               - 35 / 24 * n ** 3 * np.sin(3 * dphi) * np.cos(3 * sphi))
+    e0, n0 = NATIONAL_GRID_FALSE_ORIGIN_M
+    easting = e0 + nu * cos * d + nu / 6 * cos ** 3 * (nu / rho - tan2) * d ** 3 \
+        + nu / 120 * cos ** 5 * (5 - 18 * tan2 + tan2 ** 2 + 14 * eta2 - 58 * tan2 * eta2) * d ** 5
+    northing = n0 + arc + nu / 2 * sin * cos * d ** 2 \
+        + nu / 24 * sin * cos ** 3 * (5 - tan2 + 9 * eta2) * d ** 4 \
+        + nu / 720 * sin * cos ** 5 * (61 - 58 * tan2 + tan2 ** 2) * d ** 6
+    return easting, northing
+
+
+@F.pandas_udf(T.StructType([T.StructField("easting", T.DoubleType()),
+                            T.StructField("northing", T.DoubleType())]))
+def _national_grid(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
+    easting, northing = _national_grid_arrays(lon.to_numpy(), lat.to_numpy())
+    return pd.DataFrame({"easting": easting, "northing": northing})
+
+
+def national_grid(df: DataFrame) -> DataFrame:
+    """`df` with `easting` and `northing` on the British National Grid, from `lon` and `lat`.
+
+    Good to about 5 m, which is what the published seven-parameter shift gives. Runs in batches on
+    one row per cell. As Spark expressions the series would repeat its terms hundreds of times over
+    in every filter that is pushed through it; for the same reason the function is declared
+    non-deterministic, which keeps filters on its result above it.
+    """
+    xy = _national_grid.asNondeterministic()("lon", "lat")
+    return df.withColumn("_xy", xy).select(
+        *df.columns, F.col("_xy.easting").alias("easting"), F.col("_xy.northing").alias("northing"))
+
+
+def local_plane(centre_lat: float):
+    """Projection for regions without a grid of their own: metres east and north, equirectangular.
+
+    Distances east to west are off by a few per cent at the northern and southern edge of a region
+    that spans two degrees.
     """
     scale = math.pi * EARTH_RADIUS_M / 180
-    middle = F.lit(centre_lat) if isinstance(centre_lat, (int, float)) else centre_lat
-    return F.struct((lon * scale * F.cos(F.radians(middle))).alias("easting"),
-                    (lat * scale).alias("northing"))
+
+    def project(df: DataFrame) -> DataFrame:
+        return df.select(*df.columns,
+                         (F.col("lon") * scale * math.cos(math.radians(centre_lat))).alias("easting"),
+                         (F.col("lat") * scale).alias("northing"))
+    return project

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadlens import fixed
 from roadlens.functions import grid
 from roadlens.functions.predicates import in_vintage
 from roadlens.operators.hours import measured
 from roadlens.params import Job
-from roadlens.plans import map_report, risk, speed_report, volume_report
+from roadlens.operators import ordered
+from roadlens.plans import map_report, risk, speed_report, territory, volume_report
 from roadlens.session import tune
 from workload import adapters
 
@@ -31,10 +33,10 @@ def register(build: Query) -> Query:
     return build
 
 
-def rounded(df: DataFrame, **places: int) -> DataFrame:
-    """Doubles rounded for comparison, four places unless said otherwise."""
+def rounded(df: DataFrame, default: int = 4, **places: int) -> DataFrame:
+    """Doubles rounded for comparison, to `default` places unless said otherwise."""
     return df.select(*[
-        F.round(f.name, places.get(f.name, 4)).alias(f.name)
+        F.round(f.name, places.get(f.name, default)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
@@ -392,3 +394,109 @@ def trip_segments(spark, sf_dir):
 def segment_features(spark, sf_dir):
     return risk.segment_features(adapters.segments(spark, sf_dir),
                                  ["dseg_id", "frc", "speed_limit_kph", "street_name"])
+
+
+# Territory -------------------------------------------------------------------
+
+def _territory(spark, sf_dir):
+    return territory.territory(adapters.road_tables(spark, sf_dir), JOB)
+
+
+def _cell():
+    return grid.cell_of_box(territory.LEVEL)
+
+
+@register
+def volume_cells(spark, sf_dir):
+    return rounded(territory.volume_cells(adapters.volumes(spark, sf_dir), JOB, _cell()), default=6)
+
+
+@register
+def road_signals(spark, sf_dir):
+    return rounded(territory.road_signals(adapters.hourly(spark, sf_dir),
+                                          adapters.segments(spark, sf_dir), JOB, _cell()), default=6)
+
+
+@register
+def cell_layer(spark, sf_dir):
+    return rounded(territory.cell_layer(adapters.road_tables(spark, sf_dir), JOB, _cell()), default=6)
+
+
+@register
+def reach_summary(spark, sf_dir):
+    return territory.reach_summary(territory.cell_layer(adapters.road_tables(spark, sf_dir), JOB, _cell()))
+
+
+@register
+def cell_postcode(spark, sf_dir):
+    return territory.cell_postcode(adapters.map_segments(spark, sf_dir), JOB)
+
+
+@register
+def cell_postcode_by_road(spark, sf_dir):
+    return territory.cell_postcode(adapters.map_segments(spark, sf_dir), JOB, count_by="road")
+
+
+@register
+def postcode_size(spark, sf_dir):
+    return territory.postcode_size(adapters.map_segments(spark, sf_dir), JOB)
+
+
+@register
+def cell_centres(spark, sf_dir):
+    mapped = territory.mapped_cells(adapters.segments(spark, sf_dir), JOB, _cell())
+    return rounded(mapped, lon=6, lat=6, easting=2, northing=2)
+
+
+@register
+def nearest_postcode(spark, sf_dir):
+    return rounded(_territory(spark, sf_dir).nearest, distance_m=2)
+
+
+@register
+def edge_postcodes(spark, sf_dir):
+    return _territory(spark, sf_dir).edges
+
+
+@register
+def postcode_centres(spark, sf_dir):
+    return rounded(territory.postcode_centres(_territory(spark, sf_dir).inside),
+                   lat=6, lon=6, west=6, east=6, south=6, north=6)
+
+
+@register
+def postcode_features(spark, sf_dir):
+    return rounded(_territory(spark, sf_dir).features, default=6)
+
+
+@register
+def feature_summary(spark, sf_dir):
+    return rounded(ordered.summary(_territory(spark, sf_dir).features, fixed.ROAD_FEATURES))
+
+
+@register
+def weighting_gap(spark, sf_dir):
+    return rounded(territory.weighting_gap(_territory(spark, sf_dir).features, 2, 10))
+
+
+@register
+def size_tracking(spark, sf_dir):
+    return rounded(ordered.rank_correlation(_territory(spark, sf_dir).features, "postcode", "addresses",
+                                            fixed.ROAD_FEATURES))
+
+
+def _placed(spark, sf_dir):
+    frames = _territory(spark, sf_dir)
+    return territory.placed_collisions(adapters.collisions(spark, sf_dir), frames.inside,
+                                       frames.features), frames.features
+
+
+@register
+def collision_counts(spark, sf_dir):
+    return _placed(spark, sf_dir)[0]
+
+
+@register
+def collision_panel(spark, sf_dir):
+    return territory.collision_panel(*_placed(spark, sf_dir)).select(
+        "postcode", "month", "collisions", "ksi", "prior_collisions", "prior_ksi", "addresses")
