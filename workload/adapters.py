@@ -126,7 +126,7 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
                         for s in range(fixed.SLOTS_PER_WEEK)])
     return rows.select(
         "region", "vintage_year", k.alias("segment_id"), "frc", "aadt",
-        F.array(*[aadt * 1.05] * 5, *[aadt * 0.85] * 2).alias("aadt_by_day"),
+        F.array(*[aadt * 1.05] * 5, *[aadt * (0.75 + 0.05 * (k % 4))] * 2).alias("aadt_by_day"),
         by_hour.alias("aadt_by_day_hour"),
         F.when(k % 13 != 0, F.concat(
             (4000000 + k).cast("string"), F.lit(":"), (k % 90).cast("string"), F.lit(":0,"),

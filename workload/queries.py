@@ -15,8 +15,8 @@ from roadlens.functions.predicates import in_vintage
 from roadlens.operators.hours import measured
 from roadlens.params import Job
 from roadlens.operators import ordered
-from roadlens.plans import map_report, risk, speed_report, territory, volume_report
-from roadlens.session import tune
+from roadlens.plans import claims_model, map_report, risk, speed_report, territory, volume_report
+from roadlens.session import durable, tune
 from workload import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,7 +471,7 @@ def postcode_features(spark, sf_dir):
 
 @register
 def feature_summary(spark, sf_dir):
-    return rounded(ordered.summary(_territory(spark, sf_dir).features, fixed.ROAD_FEATURES))
+    return rounded(ordered.summary(_territory(spark, sf_dir).features, fixed.ROAD_FEATURES), default=3)
 
 
 @register
@@ -500,3 +500,80 @@ def collision_counts(spark, sf_dir):
 def collision_panel(spark, sf_dir):
     return territory.collision_panel(*_placed(spark, sf_dir)).select(
         "postcode", "month", "collisions", "ksi", "prior_collisions", "prior_ksi", "addresses")
+
+
+# Claims model ----------------------------------------------------------------
+
+def _panel(spark, sf_dir):
+    placed, features = _placed(spark, sf_dir)
+    return durable(territory.collision_panel(placed, features)), features
+
+
+@register
+def own_rate_ceiling(spark, sf_dir):
+    return rounded(claims_model.own_rate_ceiling(_panel(spark, sf_dir)[0]))
+
+
+@register
+def own_rate_capture_curve(spark, sf_dir):
+    """Share of the collisions found, postcode-months ordered by last year's count."""
+    panel = _panel(spark, sf_dir)[0].select(
+        "postcode", "month", F.col("collisions").cast("double").alias("observed"),
+        F.col("prior_collisions").cast("double").alias("predicted"), F.lit("history").alias("model"))
+    curve = claims_model.capture_curve(panel, ["model"])
+    return rounded(curve.select("postcode", "month", "place", "row_share", "captured_share"))
+
+
+@register
+def feature_zscores(spark, sf_dir):
+    return rounded(claims_model.feature_zscores(_panel(spark, sf_dir)[0]))
+
+
+@register
+def model_scores(spark, sf_dir):
+    return rounded(claims_model.model_scores(_panel(spark, sf_dir)[0]))
+
+
+@register
+def block_scores(spark, sf_dir):
+    """Blocks two levels below the default, because the small extract fills few of those."""
+    return claims_model.block_scores(_panel(spark, sf_dir)[0], level=grid.LEVEL_FOR_RESOLUTION[4] + 3)
+
+
+def _road_model(panel):
+    return claims_model.fit_poisson(panel.filter(claims_model.is_train()),
+                                    claims_model.columns_of("size + roads", "collisions"), "collisions")
+
+
+@register
+def contributions(spark, sf_dir):
+    panel = _panel(spark, sf_dir)[0]
+    return rounded(claims_model.contributions(panel.filter(claims_model.is_test()), _road_model(panel)))
+
+
+@register
+def feature_importance(spark, sf_dir):
+    panel = _panel(spark, sf_dir)[0]
+    model = _road_model(panel)
+    pushes = claims_model.contributions(panel.filter(claims_model.is_test()), model)
+    return rounded(claims_model.feature_importance(pushes, model))
+
+
+@register
+def territory_multipliers(spark, sf_dir):
+    panel = _panel(spark, sf_dir)[0]
+    return rounded(claims_model.territory_multipliers(panel, _road_model(panel)))
+
+
+@register
+def effect_limit(spark, sf_dir):
+    panel = _panel(spark, sf_dir)[0]
+    return claims_model.effect_limit(claims_model.territory_multipliers(panel, _road_model(panel)))
+
+
+@register
+def contrasting_pair(spark, sf_dir):
+    panel, features = _panel(spark, sf_dir)
+    size_model = claims_model.fit_poisson(panel.filter(claims_model.is_train()),
+                                          claims_model.columns_of("size", "collisions"), "collisions")
+    return rounded(claims_model.contrasting_pair(panel, features, size_model, _road_model(panel)))
