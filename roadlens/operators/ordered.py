@@ -100,9 +100,8 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def rank_correlation(df: DataFrame, key: str, against: str, columns: list[str]) -> DataFrame:
     """Spearman correlation of each column with `against`, over the rows where both are known."""
-    pairs = unpivot(df.filter(F.col(against).isNotNull()), [key, against], columns, "feature", "value") \
-        .withColumn(against, F.col(against).cast("double"))
-    ranked = average_ranks(average_ranks(pairs, ["feature"], "value", "_rank"),
-                           ["feature"], against, "_rank_against")
+    known = df.filter(F.col(against).isNotNull()).withColumn("_against", F.col(against).cast("double"))
+    pairs = unpivot(known, [key, "_against"], columns, "feature", "_value")
+    ranked = average_ranks(average_ranks(pairs, ["feature"], "_value", "_rank"),
+                           ["feature"], "_against", "_rank_against")
     return ranked.groupBy("feature").agg(F.corr("_rank", "_rank_against").alias("correlation"))
-
