@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +21,8 @@ def wkt_vertices(wkt: Column) -> Column:
     return F.when(body != "", vertices)
 
 
-def _decode_line(blob: bytes | None):
-    """Vertices of one WKB LineString in either byte order, with or without extra dimensions."""
-    if blob is None:
-        return None
+def _line_coordinates(blob: bytes) -> np.ndarray:
+    """Longitudes and latitudes of one WKB LineString, either byte order, with or without Z and M."""
     order = "<" if blob[0] == 1 else ">"
     kind = int(np.frombuffer(blob, order + "u4", 1, 1)[0])
     has_srid, plain = bool(kind & 0x20000000), kind & 0x1FFFFFFF
@@ -35,15 +33,26 @@ def _decode_line(blob: bytes | None):
         raise ValueError(f"Expected a LineString, found WKB geometry type {plain}.")
     start = 9 if has_srid else 5
     count = int(np.frombuffer(blob, order + "u4", 1, start)[0])
-    width = 2 + extra
-    values = np.frombuffer(blob, order + "f8", count * width, start + 4).reshape(count, width)
-    return [{"lon": lon, "lat": lat} for lon, lat in values[:, :2].tolist()]
+    values = np.frombuffer(blob, order + "f8", count * (2 + extra), start + 4)
+    return values.reshape(count, 2 + extra)[:, :2].astype("f8")
 
 
-@F.pandas_udf(VERTICES)
-def wkb_vertices(blobs: pd.Series) -> pd.Series:
-    """Vertices of WKB LineStrings. Spark has no built-in that reads coordinates out of WKB."""
-    return blobs.map(_decode_line, na_action="ignore")
+@F.arrow_udf(VERTICES)
+def wkb_vertices(blobs: pa.Array) -> pa.Array:
+    """Vertices of WKB LineStrings. Spark has no built-in that reads coordinates out of WKB.
+
+    A batch comes in and goes out as Arrow: the coordinates of all lines form two flat arrays.
+    """
+    lines = [None if blob is None else _line_coordinates(blob) for blob in blobs.to_pylist()]
+    sizes = np.array([0 if line is None else len(line) for line in lines], dtype="i4")
+    known = [line for line in lines if line is not None]
+    flat = np.concatenate(known) if known else np.empty((0, 2))
+    points = pa.StructArray.from_arrays(
+        [pa.array(np.ascontiguousarray(flat[:, 0])), pa.array(np.ascontiguousarray(flat[:, 1]))],
+        names=["lon", "lat"])
+    missing = np.array([line is None for line in lines], dtype=bool)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(offsets), points, mask=pa.array(missing))
 
 
 def geojson_line(vertices: Column) -> Column:

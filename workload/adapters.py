@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,7 +100,8 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     h = 5 + F.col("l_quantity") * 2
     order = F.col("l_orderkey")
-    curve = F.array(*[h * (0.5 + 0.05 * i) for i in range(1, 20)])
+    curve = F.expr("array(" + ", ".join(
+        f"(5 + l_quantity * 2) * {0.5 + 0.05 * i!r}D" for i in range(1, 20)) + ")")
     return items.select(
         F.col("l_partkey").alias("dseg_id"),
         F.date_add(F.lit("2025-09-01").cast("date"), (order % 7).cast("int")).alias("observation_date"),
@@ -122,8 +124,9 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part.filter("p_size > 8").withColumn("vintage_year", F.explode(vintages)) \
         .withColumn("aadt", F.when(F.col("vintage_year") == 2025, base).otherwise(base * 0.97))
     aadt = F.col("aadt")
-    by_hour = F.array(*[aadt * (1.05 if s < 120 else 0.85) * (1 + s % 24 * (23 - s % 24)) / 2048
-                        for s in range(fixed.SLOTS_PER_WEEK)])
+    by_hour = F.expr("array(" + ", ".join(
+        f"aadt * {1.05 if s < 120 else 0.85}D * {1 + s % 24 * (23 - s % 24)} / 2048"
+        for s in range(fixed.SLOTS_PER_WEEK)) + ")")
     return rows.select(
         "region", "vintage_year", k.alias("segment_id"), "frc", "aadt",
         F.array(*[aadt * 1.05] * 5, *[aadt * (0.75 + 0.05 * (k % 4))] * 2).alias("aadt_by_day"),
@@ -150,18 +153,21 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
              (100.0 * F.col("covered_length_m") / F.col("total_length_m")).alias("coverage_pct"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _wkb_line(vertices: pd.Series) -> pd.Series:
-    return vertices.map(lambda points: struct.pack("<BII", 1, 2, len(points)) + b"".join(
-        struct.pack("<dd", p["lon"], p["lat"]) for p in points))
+@F.arrow_udf(T.BinaryType())
+def _wkb_line(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, f: pa.Array) -> pa.Array:
+    """Three points as little-endian WKB LineStrings."""
+    rows = np.empty(len(a), dtype=[("head", "S9"), ("xy", "<f8", 6)])
+    rows["head"] = struct.pack("<BII", 1, 2, 3)
+    rows["xy"] = np.stack([column.to_numpy(zero_copy_only=False) for column in (a, b, c, d, e, f)], axis=1)
+    size, data = rows.dtype.itemsize, rows.tobytes()
+    return pa.array([data[i:i + size] for i in range(0, len(data), size)], pa.binary())
 
 
 def map_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _place(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", ORDERS_PER_BLOCK)
     k, b, j = F.col("k"), F.col("b"), F.col("j")
     lon, lat = F.col("lon_u"), F.col("lat_u")
-    point = lambda x, y: F.struct(_degrees(x).alias("lon"), _degrees(y).alias("lat"))
-    line = F.array(point(lon, lat), point(lon + 1500, lat + 700), point(lon + 4000, lat + 900))
+    line = [_degrees(x) for x in (lon, lat, lon + 1500, lat + 700, lon + 4000, lat + 900)]
     everyone = F.lit(None).cast("struct<mode:array<string>>")
     limit = lambda value, unit, when: F.struct(
         F.struct(value.cast("double").alias("value"), F.lit(unit).alias("unit")).alias("max_speed"),
@@ -202,7 +208,7 @@ def map_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array().cast("array<struct<name:string>>")).alias("routes"),
         F.struct(_degrees(lon).alias("xmin"), _degrees(lat).alias("ymin"),
                  _degrees(lon + 4000).alias("xmax"), _degrees(lat + 900).alias("ymax")).alias("bbox"),
-        _wkb_line(line).alias("geometry"),
+        _wkb_line(*line).alias("geometry"),
         F.array(F.struct(F.concat(F.lit("c"), hub.cast("string")).alias("connector_id"), F.lit(0.0).alias("at")),
                 F.struct(F.concat(F.lit("c"), (k * 2 + 2 + k % 4).cast("string")).alias("connector_id"), F.lit(1.0).alias("at")))
         .alias("connectors"),

@@ -17,6 +17,7 @@ from roadlens.params import Job
 from roadlens.operators import ordered
 from roadlens.plans import claims_model, map_report, risk, speed_report, territory, volume_report
 from roadlens.session import durable, tune
+from roadlens.sources.tables import RoadTables
 from workload import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +43,14 @@ def rounded(df: DataFrame, default: int = 4, **places: int) -> DataFrame:
 
 # Risky kilometres ------------------------------------------------------------
 
+def _tables(spark, sf_dir):
+    """Segments, hours and volumes; the map's tables are built only where they are read."""
+    return RoadTables(segments=adapters.segments(spark, sf_dir), hourly=adapters.hourly(spark, sf_dir),
+                      volumes=adapters.volumes(spark, sf_dir))
+
+
 def _cell_slots(spark, sf_dir):
-    return risk.cell_slot_km(adapters.road_tables(spark, sf_dir), JOB)
+    return risk.cell_slot_km(_tables(spark, sf_dir), JOB)
 
 
 @register
@@ -363,7 +370,7 @@ def signals_by_exposure(spark, sf_dir):
 
 def _route(spark, sf_dir):
     # The ways of three neighbouring parts, and the parts of one name and limit beside them.
-    return risk.route_hours(adapters.road_tables(spark, sf_dir), JOB,
+    return risk.route_hours(_tables(spark, sf_dir), JOB,
                             [4000010, 4000011, 4000012, 4000026], "red widget", 40)
 
 
@@ -419,12 +426,12 @@ def road_signals(spark, sf_dir):
 
 @register
 def cell_layer(spark, sf_dir):
-    return rounded(territory.cell_layer(adapters.road_tables(spark, sf_dir), JOB, _cell()), default=6)
+    return rounded(territory.cell_layer(_tables(spark, sf_dir), JOB, _cell()), default=6)
 
 
 @register
 def reach_summary(spark, sf_dir):
-    return territory.reach_summary(territory.cell_layer(adapters.road_tables(spark, sf_dir), JOB, _cell()))
+    return territory.reach_summary(territory.cell_layer(_tables(spark, sf_dir), JOB, _cell()))
 
 
 @register
