@@ -9,6 +9,7 @@ from roadlens.functions import measures, timeaxis
 from roadlens.operators.hours import measured
 from roadlens.params import Job
 from roadlens.plans import risk, speed_report, volume_report
+from roadlens.sources.export import decimals_to_double
 from roadlens.sources.tables import RoadTables, tile_slice
 from tests import frames
 
@@ -165,3 +166,27 @@ def test_route_and_road_beside_it(spark):
     assert over[4].over_limit_pct is None
     with pytest.raises(ValueError, match="lies on the ways"):
         risk.require_route(risk.route_hours(tables, JOB, [99], "A20", 50), [99], JOB)
+
+
+def test_sample_is_repeatable_and_capped(spark):
+    roads = frames.segments(spark, *[frames.segment(k, frc=k % 7) for k in range(200)])
+    hours = frames.hours(spark, *[frames.hour(k, utc=u, harmonic=100.0 + k) for k in range(200) for u in range(24)])
+    base = measured(hours, roads, JOB)
+    take = lambda df, share, cap: sorted(map(tuple, speed_report.speed_sample(df, share, cap).collect()))
+    half = take(base, 0.5, 10_000)
+    eligible = base.filter("frc <= 4").count()
+    assert 0.45 * eligible < len(half) < 0.55 * eligible and max(v for _, v in half) == 150.0
+    assert half == take(base.repartition(7), 0.5, 10_000)
+    few = take(base, 0.5, 25)
+    assert len(few) == 25 and not [r for r in few if r not in half]
+
+
+def test_decimals_become_doubles(spark):
+    df = decimals_to_double(spark.sql("SELECT 1.0 * 2 AS a, 'x' AS b, 3 AS c"))
+    assert dict(df.dtypes) == {"a": "double", "b": "string", "c": "int"}
+
+
+def test_trips_find_their_segments_once(spark):
+    roads = frames.segments(spark, frames.segment(1, ways=[7, 8]), frames.segment(2, ways=[8]), frames.segment(3, ways=[9]))
+    trips = spark.createDataFrame([(1, 7), (1, 8), (1, 8), (2, 9), (3, 5)], "trip_id long, osm_way_id long")
+    assert sorted(map(tuple, risk.trip_segments(trips, roads).collect())) == [(1, 1), (1, 2), (2, 3)]

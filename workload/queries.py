@@ -206,6 +206,14 @@ def most_congested_cells(spark, sf_dir):
     return speed_report.most_congested(speed_report.cell_congestion(_measured(spark, sf_dir), box))
 
 
+@register
+def region_slice(spark, sf_dir):
+    """Speeding by class in one region, its hours cut down by the region's tiles."""
+    job = Job("austin", JOB.first_date, JOB.last_date, JOB.vintage_year)
+    cut = _tables(spark, sf_dir).slice(job)
+    return speed_report.speeding_by_class(measured(cut.hourly, cut.segments, job))
+
+
 # Volume report ---------------------------------------------------------------
 
 def _vintage(spark, sf_dir):
