@@ -13,7 +13,7 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str],
     """Add, per row, the running total of columns in the given order within each group.
 
     `totals` maps a new column to the column it accumulates; the current row is included. The last
-    entries of `order` should identify a row, so that the order is total.
+    entries of `order` should identify a row, so that the order is total. Group keys are not NULL.
 
     Rows are range-partitioned by group and order and written to the checkpoint folder together with
     the number of their range, because the ranges are drawn from a sample and must not be drawn
@@ -89,7 +89,10 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str,
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles of each column, one row per column."""
+    """Count, mean, deviation, extremes and quartiles of each column, one row per column.
+
+    `df` is read twice; hand in a written or checkpointed frame when it is costly.
+    """
     long = unpivot(df, [], columns, "feature", "value")
     basics = long.groupBy("feature").agg(
         F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),

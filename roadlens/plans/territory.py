@@ -267,3 +267,14 @@ def territory(tables: RoadTables, job: Job, level: int = LEVEL,
     features = postcode_features(assigned, postcode_size(tables.map_segments, job), edges,
                                  postcode_centres(inside))
     return Territory(layer, mapped, labelled, inside, edges, nearest, assigned, features)
+
+
+def claims_panel(frames: Territory, collisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The panel and the features, both written down.
+
+    The features (one row per postcode) place the collisions and carry the panel, and every model
+    reads the panel: neither may go back to the hours.
+    """
+    features = durable(frames.features)
+    placed = placed_collisions(collisions, frames.inside, features)
+    return durable(collision_panel(placed, features)), features

@@ -486,7 +486,7 @@ def postcode_features(spark, sf_dir):
 
 @register
 def feature_summary(spark, sf_dir):
-    return rounded(ordered.summary(_territory(spark, sf_dir).features, fixed.ROAD_FEATURES), default=3)
+    return rounded(ordered.summary(durable(_territory(spark, sf_dir).features), fixed.ROAD_FEATURES), default=3)
 
 
 @register
@@ -500,30 +500,25 @@ def size_tracking(spark, sf_dir):
                                             fixed.ROAD_FEATURES))
 
 
-def _placed(spark, sf_dir):
+@register
+def collision_counts(spark, sf_dir):
     frames = _territory(spark, sf_dir)
     return territory.placed_collisions(adapters.collisions(spark, sf_dir), frames.inside,
-                                       frames.features), frames.features
+                                       durable(frames.features))
 
 
-@register
-def collision_counts(spark, sf_dir):
-    return _placed(spark, sf_dir)[0]
+def _panel(spark, sf_dir):
+    return territory.claims_panel(_territory(spark, sf_dir), adapters.collisions(spark, sf_dir))
 
 
 @register
 def collision_panel(spark, sf_dir):
-    return territory.collision_panel(*_placed(spark, sf_dir)).select(
+    return _panel(spark, sf_dir)[0].select(
         "postcode", "month", "collisions", "ksi", "prior_collisions", "prior_ksi", "addresses")
 
 
 # Claims model ----------------------------------------------------------------
 
-def _panel(spark, sf_dir):
-    placed, features = _placed(spark, sf_dir)
-    return durable(territory.collision_panel(placed, features)), features
-
-
 @register
 def own_rate_ceiling(spark, sf_dir):
     return rounded(claims_model.own_rate_ceiling(_panel(spark, sf_dir)[0]))
