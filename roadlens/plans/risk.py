@@ -29,11 +29,14 @@ def cell_conditions(hourly: DataFrame, segments: DataFrame, job: Job) -> DataFra
     """Length-weighted share of each condition, per cell and local hour of the week.
 
     Only hours with a distribution on roads with a limit can be read; the rest stay unmeasured.
+    An hour whose local time is unknown falls into slot -1, which no driving matches. As the slot is
+    never NULL, the join above needs no NULL check that would convert every hour's time twice.
     """
+    slot = F.coalesce(timeaxis.hour_of_week(timeaxis.local_hours()), F.lit(-1))
     readable = hourly.filter(has_distribution())
     hours = road_hours(readable, segments.filter(has_limit()), job).select(
         "h3_r9", "length_m",
-        timeaxis.hour_of_week(timeaxis.local_hours()).alias("slot"),
+        slot.alias("slot"),
         measures.over_limit_share().alias("over_limit"),
         measures.wide_spread().alias("wide_spread"),
         measures.jammed().alias("jammed"))

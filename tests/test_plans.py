@@ -76,6 +76,13 @@ def test_week_is_not_exploded_before_the_shuffle(tables):
     assert days < shuffle < hours and text.count("explode(") == 1
 
 
+def test_local_time_is_converted_once(tables):
+    """No NULL check on the slot is pushed below the aggregate, where it would convert time again."""
+    text = plan(risk.cell_slot_km(tables, JOB))
+    lines = [line for line in text.splitlines() if "from_utc_timestamp" in line]
+    assert lines and not [line for line in lines if "ondition" in line.split(":")[0]]
+
+
 def test_joins_meet_one_row_per_cell(tables):
     """Both sides are aggregated before the join, and hours are joined to roads only once."""
     text = plan(risk.cell_slot_km(tables, JOB))
