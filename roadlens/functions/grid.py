@@ -94,22 +94,33 @@ def cells_of_line(vertices: Column, level: int) -> Column:
     ends = F.when(count == 1, points).otherwise(
         F.slice(points, F.lit(2), F.greatest(count - 1, F.lit(0))))
 
+    def eastward(a: Column, b: Column) -> Column:
+        """The piece from its western to its eastern end."""
+        ends = F.array_sort(F.array(a, b))
+        return F.struct(ends[0].alias("west"), ends[1].alias("east"))
+
+    def with_slope(piece: Column) -> Column:
+        run = piece["east"]["x"] - piece["west"]["x"]
+        slope = F.when(run > 0, (piece["east"]["y"] - piece["west"]["y"]) / run).otherwise(F.lit(0.0))
+        return F.struct(piece["west"]["x"].alias("x0"), piece["west"]["y"].alias("y0"),
+                        piece["east"]["x"].alias("x1"), piece["east"]["y"].alias("y1"), slope.alias("slope"))
+
     def piece_cells(piece: Column) -> Column:
-        west = F.when(piece["a"]["x"] <= piece["b"]["x"], piece["a"]).otherwise(piece["b"])
-        east = F.when(piece["a"]["x"] <= piece["b"]["x"], piece["b"]).otherwise(piece["a"])
-        run = east["x"] - west["x"]
-        slope = F.when(run > 0, (east["y"] - west["y"]) / run).otherwise(F.lit(0.0))
-
-        def column_cells(column: Column) -> Column:
-            enter = F.when(column > west["x"], west["y"] + (column - west["x"]) * slope) \
-                .otherwise(west["y"])
-            leave = F.when(column + 1 < east["x"], west["y"] + (column + 1 - west["x"]) * slope) \
-                .otherwise(east["y"])
-            rows = F.sequence(F.floor(F.least(enter, leave)), F.floor(F.greatest(enter, leave)))
-            return F.transform(rows, lambda row: cell_of_indices(column, row))
-
-        columns = F.sequence(F.floor(west["x"]), F.floor(east["x"]))
+        at = lambda x: piece["y0"] + (x - piece["x0"]) * piece["slope"]
+
+        def column_rows(column: Column) -> Column:
+            enter = F.when(column > piece["x0"], at(column)).otherwise(piece["y0"])
+            leave = F.when(column + 1 < piece["x1"], at(column + 1)).otherwise(piece["y1"])
+            return F.struct(_spread_bits(column).alias("column"),
+                            F.least(enter, leave).alias("low"), F.greatest(enter, leave).alias("high"))
+
+        def column_cells(part: Column) -> Column:
+            rows = F.sequence(F.floor(part["low"]), F.floor(part["high"]))
+            return F.transform(rows, lambda row: part["column"] + 2 * _spread_bits(row))
+
+        columns = F.transform(F.sequence(F.floor(piece["x0"]), F.floor(piece["x1"])), column_rows)
         return F.flatten(F.transform(columns, column_cells))
 
-    pieces = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+    # Each step binds its results before the next one uses them, so nothing is worked out twice.
+    pieces = F.transform(F.zip_with(starts, ends, eastward), with_slope)
     return F.array_distinct(F.flatten(F.transform(pieces, piece_cells)))
