@@ -104,22 +104,17 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = texts.select("doc_id", "text", _bucket(bounds).alias("bucket"), F.lit(0).alias("visitor"))
 
-    # One row per range that has rows, in the order of the documents, with the range before it.
-    heads = ids.select("doc_id", _bucket(bounds).alias("bucket")).groupBy("bucket").agg(
-        F.max("doc_id").alias("head"))
-    order = Window.orderBy(F.col("bucket").desc())
-    first = F.first("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    targets = heads.select("head", F.lag("bucket").over(order).alias("before"), "bucket",
-                           first.alias("first"), last.alias("last")) \
-        .select("head", F.coalesce("before", "last").alias("to"))
+    # One row per range that has rows: its first document goes to the range before, the first range's to the last.
+    heads = ids.select("doc_id", _bucket(bounds).alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("head"))
+    found = sorted(heads.collect(), key=lambda r: -r["bucket"])
+    targets = spark.createDataFrame([(r["head"], found[i - 1]["bucket"]) for i, r in enumerate(found)], "head long, to int")
     visitors = texts.join(targets, F.col("doc_id").eqNullSafe(F.col("head"))) \
         .select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("visitor"))
 
-    both = own.unionByName(visitors).select("*", fingerprint(F.col("text")).alias("fingerprint"))
+    there = own.unionByName(visitors).repartition("bucket").select("*", fingerprint(F.col("text")).alias("fingerprint"))
     inside = Window.partitionBy("bucket").orderBy("visitor", F.col("doc_id").desc_nulls_last(), "text")
-    return both.select("doc_id", "text", "fingerprint", "visitor",
-                       F.lead(F.struct("text", "fingerprint")).over(inside).alias("next")) \
+    return there.select("doc_id", "text", "fingerprint", "visitor",
+                        F.lead(F.struct("text", "fingerprint")).over(inside).alias("next")) \
         .filter("visitor = 0").drop("visitor")
 
 

@@ -114,11 +114,10 @@ def limits(judged: DataFrame, lang: str = "lang", source: str = "source",
     merged = lambda prefix: [F.sum("rows").alias(f"{prefix}_rows")] + [
         F.kll_merge_agg_double(n, F.lit(rules.sketch_k)).alias(f"{prefix}_{n}") for n in names]
     langs = groups.groupBy(F.col("lang").alias("lang_key")).agg(*merged("lang"))
-    corpus = groups.groupBy(F.lit(1).alias("all_key")).agg(*merged("all"))
-    wide = groups.join(langs, F.col("lang").eqNullSafe(F.col("lang_key"))) \
-        .withColumn("all_key", F.lit(1)).join(corpus, "all_key")
+    corpus = groups.agg(*merged("all")).select(F.struct("*")).scalar()
+    wide = groups.join(langs, F.col("lang").eqNullSafe(F.col("lang_key"))).withColumn("corpus", corpus)
     sketch = lambda n: F.when(F.col("rows") >= rules.least_group, F.col(n)).when(
-        F.col("lang_rows") >= rules.least_group, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
+        F.col("lang_rows") >= rules.least_group, F.col(f"lang_{n}")).otherwise(F.col(f"corpus.all_{n}"))
     quartiles = wide.select("lang", "source", *[
         F.kll_sketch_get_quantile_double(sketch(n), F.lit(q)).alias(f"{name}_{n}")
         for n in names for name, q in (("q1", 0.25), ("q3", 0.75))])

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm import chat, merkle, quality
+import public_tokenizers
+
+from roadlens.llm import chat, merkle, packing, quality, simhash
 from roadlens.llm.sql import SQL  # noqa: F401  read by the entry points
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +43,16 @@ def op4_quality_rules(spark, sf_dir):
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
 
 
+@register
+def op5_simhash_near_duplicates(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, distance=2)
+
+
+@register
+def op7_vector_packing(spark, sf_dir):
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @register
 def op9_chat_format(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
