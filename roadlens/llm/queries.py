@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from roadlens.llm import chat, merkle, packing, quality, simhash
+from roadlens.llm import chat, langid, merkle, packing, quality, sentencepiece_bpe, simhash, toxicity
 from roadlens.llm.sql import SQL  # noqa: F401  read by the entry points
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@register
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxic(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@register
+def op3_sentencepiece(spark, sf_dir):
+    return sentencepiece_bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register
 def op4_quality_rules(spark, sf_dir):
     judged = quality.quality(documents(spark, sf_dir))
@@ -48,6 +58,11 @@ def op5_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, distance=2)
 
 
+@register
+def op6_language_id(spark, sf_dir):
+    return langid.languages(documents(spark, sf_dir))
+
+
 @register
 def op7_vector_packing(spark, sf_dir):
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
