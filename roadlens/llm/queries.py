@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from roadlens.llm import chat, langid, merkle, packing, quality, sentencepiece_bpe, simhash, toxicity
+from roadlens.llm import (chat, langid, licenses, merkle, packing, quality, sentencepiece_bpe, simhash, toxicity,
+                          training_order)
 from roadlens.llm.sql import SQL  # noqa: F401  read by the entry points
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.toxic(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@register
+def op2_training_order(spark, sf_dir):
+    return training_order.materialise(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("folder")
+
+
 @register
 def op3_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -68,6 +74,11 @@ def op7_vector_packing(spark, sf_dir):
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @register
 def op9_chat_format(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")

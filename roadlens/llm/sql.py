@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from roadlens.llm.licenses import LEAST_CONTAINMENT, TEMPLATES, template_shingles
 from roadlens.llm.quality import Rules
 
 
@@ -94,4 +95,20 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
 FROM pairs"""
 
 
-SQL = {"op4_quality_rules": _quality(), "op9_chat_format": _CHAT, "op10_merkle_fingerprints": _merkle()}
+def _licenses() -> str:
+    """Every template against every text, by unnested shingles."""
+    quoted = lambda parts: "[" + ", ".join("'" + p + "'" for p in parts) + "]"
+    notices = ", ".join(f"('{name}', {quoted(template_shingles(t))})" for name, texts in TEMPLATES.items() for t in texts)
+    return f"""
+WITH notices(license, parts) AS (VALUES {notices}),
+tokens AS (SELECT row_number() OVER () AS k, doc_id,
+                  list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT k, doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM tokens, unnest(range(1, len(w) - 3)) AS t(i)),
+wanted AS (SELECT n.*, p.s AS s, row_number() OVER () AS place FROM (SELECT *, row_number() OVER () AS notice FROM notices) n, unnest(parts) AS p(s)),
+shares AS (SELECT k, doc_id, license, notice, count(*) / any_value(len(parts))::DOUBLE AS containment
+           FROM shingles JOIN wanted USING (s) GROUP BY k, doc_id, license, notice)
+SELECT doc_id, license, max(containment) AS containment FROM shares WHERE containment >= {LEAST_CONTAINMENT}
+GROUP BY k, doc_id, license"""
+
+
+SQL = {"op8_license_scan": _licenses(), "op4_quality_rules": _quality(), "op9_chat_format": _CHAT, "op10_merkle_fingerprints": _merkle()}
