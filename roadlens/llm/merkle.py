@@ -108,7 +108,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     heads = ids.select("doc_id", _bucket(bounds).alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("head"))
     found = sorted(heads.collect(), key=lambda r: -r["bucket"])
     targets = spark.createDataFrame([(r["head"], found[i - 1]["bucket"]) for i, r in enumerate(found)], "head long, to int")
-    visitors = texts.join(targets, F.col("doc_id").eqNullSafe(F.col("head"))) \
+    # The hint is safe: there is at most one target row per range, and as many ranges as `buckets`.
+    visitors = texts.join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("head"))) \
         .select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("visitor"))
 
     there = own.unionByName(visitors).repartition("bucket").select("*", fingerprint(F.col("text")).alias("fingerprint"))
