@@ -54,7 +54,7 @@ _SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 4000
+    sample_rows: int = 2500
     negatives: int = 6000
     witnesses: int = 1000
     landmarks: int = 192
@@ -177,7 +177,8 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame
         .otherwise(F.lit(settings.sample_rows / 2 / max(counts.get(0, 1), 1)))
     drawn = known.filter(draw < share).limit(2 * settings.sample_rows).collect()
     picked = docs.sparkSession.createDataFrame(drawn, known.schema)
-    return docs.select("doc_id", "text").join(picked, "doc_id").filter(F.col("text").isNotNull())
+    # The hint is safe: `picked` has at most twice `sample_rows` rows of an id and a label.
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> ToxicModel | None:
