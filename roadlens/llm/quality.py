@@ -157,6 +157,6 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept, with all their columns. Texts are read twice and not written."""
-    judged = measured(docs, rules=rules)
+    """The documents that are kept, with all their columns. Counts are written beside the rows and read twice."""
+    judged = written(measured(docs, rules=rules), "quality-measured")
     return judge(judged, limits(judged, rules=rules), rules=rules).filter("kept").select("row.*")
