@@ -190,3 +190,11 @@ def test_trips_find_their_segments_once(spark):
     roads = frames.segments(spark, frames.segment(1, ways=[7, 8]), frames.segment(2, ways=[8]), frames.segment(3, ways=[9]))
     trips = spark.createDataFrame([(1, 7), (1, 8), (1, 8), (2, 9), (3, 5)], "trip_id long, osm_way_id long")
     assert sorted(map(tuple, risk.trip_segments(trips, roads).collect())) == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_extent_covers_dates_outside_any_window(spark):
+    days = [(date(2020, 1, 1), None), (date(2025, 9, 1), [1]), (date(2025, 9, 1), [2]), (date(2031, 1, 1), [3])]
+    (row,) = speed_report.observation_extent(
+        spark.createDataFrame(days, "observation_date date, speed_percentiles_kph array<int>")).collect()
+    assert (row.first_date, row.last_date, row.days, row.hourly_rows) == (date(2020, 1, 1), date(2031, 1, 1), 3, 4)
+    assert row.single_observation_pct == 25.0

@@ -86,7 +86,7 @@ def network_extent(spark, sf_dir):
 
 @register
 def observation_extent(spark, sf_dir):
-    return speed_report.observation_extent(adapters.hourly(spark, sf_dir), JOB)
+    return speed_report.observation_extent(adapters.hourly(spark, sf_dir))
 
 
 @register
