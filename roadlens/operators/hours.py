@@ -35,7 +35,7 @@ def measured(hourly: DataFrame, segments: DataFrame, job: Job) -> DataFrame:
     """
     hours = road_hours(hourly, segments, job)
     return hours.select(
-        "dseg_id", "hour_utc", "avg_speed_kph", "harmonic_speed_kph", "median_speed_kph",
+        "dseg_id", "observation_date", "hour_utc", "avg_speed_kph", "harmonic_speed_kph", "median_speed_kph",
         "speed_percentiles_kph", "frc", "speed_limit_kph", "length_m", "h3_r9",
         "min_lon", "min_lat", "max_lon", "max_lat",
         timeaxis.is_weekend(F.col("observation_date")).alias("is_weekend"),

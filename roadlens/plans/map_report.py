@@ -56,11 +56,10 @@ def signal_focus(signals: DataFrame) -> DataFrame:
         F.percentile_approx((F.col("bbox.ymin") + F.col("bbox.ymax")) / 2, 0.5).alias("lat"))
 
 
-def driveable_in(map_roads: DataFrame, box: Box, k: int) -> DataFrame:
-    """Driveable roads touching a box, at most `k`, in the order of their id."""
+def driveable_in(map_roads: DataFrame, box: Box) -> DataFrame:
+    """All driveable roads touching a box."""
     return map_roads.filter(bbox_overlaps(box) & is_driveable()) \
-        .select("id", "name", "road_class", "limit_mph", "typical_mph", "geometry") \
-        .orderBy("id").limit(k)
+        .select("id", "name", "road_class", "limit_mph", "typical_mph", "geometry")
 
 
 def roads_inside(map_segments: DataFrame, box: Box, classes: list[str]) -> DataFrame:
@@ -113,7 +112,7 @@ def connector_degree(map_roads: DataFrame, cap: int = 6) -> DataFrame:
         F.count("*").alias("connectors"))
 
 
-def signpost_readout(signposts: DataFrame, map_roads: DataFrame, k: int = 15,
+def signpost_readout(signposts: DataFrame, map_roads: DataFrame,
                      classes: tuple[str, ...] = ("motorway", "trunk")) -> DataFrame:
     """What signposts on major roads say, with the roads they lead from and to.
 
@@ -136,7 +135,7 @@ def signpost_readout(signposts: DataFrame, map_roads: DataFrame, k: int = 15,
     texts = readable.select(F.col("id").alias("signpost_id"),
                             joined_text("destination_info", "destination_name").alias("destinations"),
                             joined_text("route_info", "route_text").alias("routes"))
-    return ends.drop("legs").join(texts, "signpost_id").orderBy("signpost_id").limit(k)
+    return ends.drop("legs").join(texts, "signpost_id")
 
 
 def conditional_limits(map_segments: DataFrame, mode: str = "hgv") -> DataFrame:

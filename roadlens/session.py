@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -26,17 +24,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it from there from now on.
 
-    The folder is the cluster's `spark.checkpoint.dir`. Only a local session may go without it,
-    because a folder on one machine is lost with that machine.
+    The folder is the checkpoint folder of the context or the cluster's `spark.checkpoint.dir`.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError(
-                    "This operator checkpoints. Set spark.checkpoint.dir to a folder that "
-                    "every executor can reach.")
-            shared = tempfile.mkdtemp(prefix="roadlens-checkpoint-")
+            raise ValueError(
+                "This operator checkpoints. Set spark.checkpoint.dir to a folder that "
+                "every executor can reach.")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,11 +106,18 @@ def collisions_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Reported collisions with coordinates, read from delimited files by column name.
 
     The header decides the position of each column, and only the four that are used are parsed.
+    An empty field and the text NULL are unknown; any other value that does not parse ends the job,
+    so that no report is lost without a word.
     """
     raw = spark.read.csv(path, header=True, inferSchema=False)
-    return located_collisions(raw.select(
-        *[F.col(field.name).try_cast(field.dataType).alias(field.name)
-          for field in COLLISION_COLUMNS.fields]))
+
+    def parsed(field: T.StructField) -> Column:
+        text = F.nullif(F.nullif(F.trim(field.name), F.lit("")), F.lit("NULL"))
+        value = text.try_cast(field.dataType)
+        refused = F.raise_error(F.concat(F.lit(f"Cannot read {field.name}: "), text)).cast(field.dataType)
+        return F.when(text.isNotNull() & value.isNull(), refused).otherwise(value).alias(field.name)
+
+    return located_collisions(raw.select(*[parsed(field) for field in COLLISION_COLUMNS.fields]))
 
 
 def located_collisions(collisions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from roadlens.session import tune  # noqa: E402
+from workload.queries import with_local_folder  # noqa: E402
 from workload.check import local_session  # noqa: E402
 
 
@@ -13,5 +14,5 @@ from workload.check import local_session  # noqa: E402
 def spark():
     session = local_session("*")
     session.sparkContext.setLogLevel("ERROR")
-    yield tune(session)
+    yield with_local_folder(tune(session))
     session.stop()

@@ -46,7 +46,7 @@ def test_signpost_needs_both_roads(spark):
                      named_struct('destination_name', named_struct('primary', 'York'))) AS destination_info,
                array(named_struct('route_text', named_struct('primary', 'M1'))) AS route_info
         FROM VALUES ('1', 'a', 'b'), ('2', 'a', 'gone'), ('3', 'c', 'a'), ('4', 'a', 'a') v(id, f, t)""")
-    got = map_report.signpost_readout(posts, roads).collect()
+    got = sorted(map_report.signpost_readout(posts, roads).collect(), key=lambda r: r.signpost_id)
     assert [(r.signpost_id, r.from_road, r.to_road, r.destinations, r.routes) for r in got] == [
         ("1", "M1", "A1", "Leeds | York", "M1"), ("4", "M1", "M1", "Leeds | York", "M1")]
 

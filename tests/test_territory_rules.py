@@ -86,6 +86,14 @@ def test_collisions_file(spark, tmp_path):
         (530000.5, 2025, 2, None), (530000.0, 2025, 10, 1)]
 
 
+@pytest.mark.parametrize("line", ["1,31/10/2025,1,53O000,180000", "1,31/10/2025,severe,530000,180000"])
+def test_malformed_collisions_end_the_job(spark, tmp_path, line):
+    path = tmp_path / "collisions.csv"
+    path.write_text(f"accident,date,collision_severity,location_easting_osgr,location_northing_osgr\n{line}\n")
+    with pytest.raises(Exception, match="Cannot read"):
+        collisions_csv(spark, str(path)).collect()
+
+
 def test_panel_has_twelve_months_and_zeros(spark):
     features = spark.createDataFrame([("SW1 1", 10, 51.5, -0.1, *[1.0] * 10)],
                                      ["postcode", "addresses", "lat", "lon", *fixed.ROAD_FEATURES])

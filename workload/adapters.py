@@ -104,10 +104,11 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"(5 + l_quantity * 2) * {0.5 + 0.05 * i!r}D" for i in range(1, 20)) + ")")
     return items.select(
         F.col("l_partkey").alias("dseg_id"),
-        F.date_add(F.lit("2025-09-01").cast("date"), (order % 7).cast("int")).alias("observation_date"),
+        # Some days lie before the job's week and some after it; some hours report no speed.
+        F.date_add(F.lit("2025-08-31").cast("date"), (order % 10).cast("int")).alias("observation_date"),
         ((order * 7 + F.col("l_linenumber") * 5) % 24).cast("int").alias("hour_utc"),
-        (h * (1 + F.col("l_discount"))).alias("avg_speed_kph"),
-        h.alias("harmonic_speed_kph"),
+        (h * (1 + F.col("l_discount")) + F.when(F.col("l_linenumber") == 5, 60.0).otherwise(0.0)).alias("avg_speed_kph"),
+        F.when((order * 3 + F.col("l_linenumber")) % 29 != 0, h).otherwise(0.0).alias("harmonic_speed_kph"),
         (h * (1 + F.col("l_discount") / 2)).alias("median_speed_kph"),
         (h * F.col("l_tax") * 10).alias("stddev_speed_kph"),
         F.when(F.col("l_linenumber") != 6, curve).alias("speed_percentiles_kph"),
@@ -139,16 +140,17 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kilometres per region, vintage and class, and how many carry an estimate."""
+    """Kilometres per region, vintage and key, and how many carry an estimate. Class 7 has two keys."""
     part = _segments_with_size(spark, sf_dir) \
-        .withColumn("vintage_year", F.explode(F.array(F.lit(2024), F.lit(2025))))
+        .withColumn("vintage_year", F.explode(F.array(F.lit(2024), F.lit(2025)))) \
+        .withColumn("key", F.when((F.col("frc") == 7) & (F.col("dseg_id") % 3 == 0), 9).otherwise(F.col("frc")))
     covered = (F.col("p_size") > 8) & ((F.col("vintage_year") == 2025) | (F.col("p_size") <= 45))
-    return part.groupBy("region", "vintage_year", "frc").agg(
+    return part.groupBy("region", "vintage_year", "frc", "key").agg(
         F.sum("length_m").alias("total_length_m"),
         F.sum(F.when(covered, F.col("length_m")).otherwise(0.0)).alias("covered_length_m")
     ).select("region", "vintage_year",
-             F.concat(F.lit("FRC"), F.col("frc").cast("string")).alias("frc_key"), "frc",
-             F.concat(F.lit("class "), F.col("frc").cast("string")).alias("frc_label"),
+             F.concat(F.lit("FRC"), F.col("key").cast("string")).alias("frc_key"), "frc",
+             F.concat(F.lit("class "), F.col("key").cast("string")).alias("frc_label"),
              "total_length_m", "covered_length_m",
              (100.0 * F.col("covered_length_m") / F.col("total_length_m")).alias("coverage_pct"))
 
@@ -169,14 +171,15 @@ def map_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = F.col("lon_u"), F.col("lat_u")
     line = [_degrees(x) for x in (lon, lat, lon + 1500, lat + 700, lon + 4000, lat + 900)]
     everyone = F.lit(None).cast("struct<mode:array<string>>")
-    limit = lambda value, unit, when: F.struct(
+    limit = lambda value, unit, when, between=F.lit(None): F.struct(
         F.struct(value.cast("double").alias("value"), F.lit(unit).alias("unit")).alias("max_speed"),
-        F.lit(None).cast("array<double>").alias("between"), when.alias("when"))
+        between.cast("array<double>").alias("between"), when.alias("when"))
+    half = F.when(k % 24 == 0, F.array(F.lit(0.0), F.lit(0.5)))
     trucks = F.struct(F.array(F.lit("hgv")).alias("mode"))
     limits = (F.when(k % 10 == 9, F.array().cast(
         "array<struct<max_speed:struct<value:double,unit:string>,between:array<double>,"
         "when:struct<mode:array<string>>>>"))
-        .when(k % 12 == 0, F.array(limit(F.lit(40), "mph", trucks), limit(F.lit(96), "km/h", everyone)))
+        .when(k % 12 == 0, F.array(limit(F.lit(40), "mph", trucks, half), limit(F.lit(96), "km/h", everyone)))
         .otherwise(F.array(limit(20 + 10 * (k % 6), "mph", everyone))))
     speed = lambda value: F.struct(value.cast("double").alias("value"), F.lit("km/h").alias("unit"))
     profile = F.struct(speed(10 + k % 60).alias("week_speed"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import date
 
@@ -27,9 +28,18 @@ JOB = Job(first_date=date(2025, 9, 1), last_date=date(2025, 9, 7), vintage_year=
 QUERIES: dict[str, Query] = {}
 
 
+def with_local_folder(spark: SparkSession) -> SparkSession:
+    """A local session without a checkpoint folder gets one; a cluster must name its own."""
+    context = spark.sparkContext
+    unset = context.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None
+    if unset and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="roadlens-checkpoint-"))
+    return spark
+
+
 def register(build: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(tune(spark), sf_dir)
+        return build(with_local_folder(tune(spark)), sf_dir)
     QUERIES[build.__name__] = run
     return build
 
@@ -121,14 +131,14 @@ def network_focus(spark, sf_dir):
 
 @register
 def longest_major_roads(spark, sf_dir):
-    return speed_report.longest_major_roads(adapters.segments(spark, sf_dir), 25000)
+    return speed_report.major_roads(adapters.segments(spark, sf_dir))
 
 
 @register
 def major_roads_at_focus(spark, sf_dir):
     roads = adapters.segments(spark, sf_dir)
     box = speed_report.around_focus(speed_report.mean_corner(roads), 0.12, 0.06)
-    return speed_report.major_roads_in(roads, box, 4000)
+    return speed_report.major_roads_in(roads, box)
 
 
 @register
@@ -150,7 +160,7 @@ def three_averages(spark, sf_dir):
 
 @register
 def speed_sample(spark, sf_dir):
-    return speed_report.speed_sample(_measured(spark, sf_dir), 0.02, 150000)
+    return speed_report.speed_sample(_measured(spark, sf_dir), 0.02)
 
 
 @register
@@ -234,7 +244,9 @@ def busiest_focus(spark, sf_dir):
 def busiest_at_focus(spark, sf_dir):
     roads = _vintage(spark, sf_dir)
     box = speed_report.around_focus(volume_report.busiest_focus(roads), 0.12, 0.06)
-    return volume_report.busiest_in(roads, box, 1500).drop("aadt_by_day")
+    """The hundred busiest segments around the focus; volumes by day in hundredths, as text."""
+    hundredths = F.transform("aadt_by_day", lambda v: F.round(v * 100).cast("bigint").cast("string"))
+    return volume_report.busiest_in(roads, box, 100).withColumn("aadt_by_day", F.array_join(hundredths, ","))
 
 
 @register
@@ -323,7 +335,7 @@ def signal_focus(spark, sf_dir):
 def driveable_at_focus(spark, sf_dir):
     focus = map_report.signal_focus(adapters.traffic_signals(spark, sf_dir))
     box = speed_report.around_focus(focus, 0.015, 0.01)
-    return map_report.driveable_in(_roads(spark, sf_dir), box, 3000).drop("geometry")
+    return map_report.driveable_in(_roads(spark, sf_dir), box).drop("geometry")
 
 
 @register
@@ -365,7 +377,8 @@ def signpost_readout(spark, sf_dir):
 @register
 def conditional_limits(spark, sf_dir):
     limits = map_report.conditional_limits(adapters.map_segments(spark, sf_dir))
-    return limits.select("id", "name", "value", "unit", F.concat_ws(",", "mode").alias("mode"))
+    between = F.array_join(F.transform("between", lambda v: v.cast("string")), ",")
+    return limits.select("id", "name", "value", "unit", between.alias("between"), F.concat_ws(",", "mode").alias("mode"))
 
 
 @register
@@ -546,13 +559,13 @@ def model_scores(spark, sf_dir):
 
 @register
 def block_scores(spark, sf_dir):
-    """Blocks two levels below the default, because the small extract fills few of those."""
+    """Blocks three levels below the default, because the small extract fills few of those."""
     return claims_model.block_scores(_panel(spark, sf_dir)[0], level=grid.LEVEL_FOR_RESOLUTION[4] + 3)
 
 
 def _road_model(panel):
     return claims_model.fit_poisson(panel.filter(claims_model.is_train()),
-                                    claims_model.columns_of("size + roads", "collisions"), "collisions")
+                                    claims_model.feature_sets("collisions")["size + roads"], "collisions")
 
 
 @register
@@ -585,5 +598,5 @@ def effect_limit(spark, sf_dir):
 def contrasting_pair(spark, sf_dir):
     panel, features = _panel(spark, sf_dir)
     size_model = claims_model.fit_poisson(panel.filter(claims_model.is_train()),
-                                          claims_model.columns_of("size", "collisions"), "collisions")
+                                          claims_model.feature_sets("collisions")["size"], "collisions")
     return rounded(claims_model.contrasting_pair(panel, features, size_model, _road_model(panel)))
