@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from roadlens.llm import (chat, langid, licenses, merkle, packing, quality, sentencepiece_bpe, simhash, toxicity,
-                          training_order)
+                          training_order, vector_codes, warc, whitened)
 from roadlens.llm.sql import SQL  # noqa: F401  read by the entry points
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,19 @@ def op9_chat_format(spark, sf_dir):
 @register
 def op10_merkle_fingerprints(spark, sf_dir):
     return merkle.edit_report(documents(spark, sf_dir))
+
+
+@register
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.encoded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@register
+def op12_whitening(spark, sf_dir):
+    return whitened.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@register
+def op13_warc(spark, sf_dir):
+    folder = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

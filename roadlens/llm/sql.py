@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from roadlens.llm.licenses import LEAST_CONTAINMENT, TEMPLATES, template_shingles
 from roadlens.llm.quality import Rules
+from roadlens.llm.vector_codes import Settings
 
 
 def _quality(rules: Rules = Rules()) -> str:
@@ -111,4 +112,45 @@ SELECT doc_id, license, max(containment) AS containment FROM shares WHERE contai
 GROUP BY k, doc_id, license"""
 
 
-SQL = {"op8_license_scan": _licenses(), "op4_quality_rules": _quality(), "op9_chat_format": _CHAT, "op10_merkle_fingerprints": _merkle()}
+_WARC = """
+WITH sized AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+grouped AS (SELECT *, payload_bytes >= 100 AND page_id IS NOT NULL AS able FROM sized),
+placed AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, able) AS lowest,
+                  row_number() OVER (PARTITION BY payload_digest, able ORDER BY page_id, url NULLS FIRST) AS k FROM grouped)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN able AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN able AND k > 1 THEN lowest END AS refers_to
+FROM placed"""
+
+
+def _codes(settings: Settings = Settings(), part_size: int = 8) -> str:
+    """Rounds written out one after another, distances component by component, quotients floored by remainder."""
+    span = range(1, part_size + 1)
+    far = "+".join(f"(t.v[{i}] - b.v[{i}]) * (t.v[{i}] - b.v[{i}])" for i in span)
+    cut = lambda i: f"(sum(t.v[{i}]) - ((sum(t.v[{i}]) % count(*)) + count(*)) % count(*)) // count(*)"
+    mean = ", ".join(f"({cut(i)})::BIGINT" for i in span)
+    steps = []
+    for k in range(settings.rounds + 1):
+        # Distance and entry in one number, so the minimum decides ties for the lower entry.
+        steps.append(f"near{k} AS MATERIALIZED (SELECT t.k, t.p, min(({far}) * {settings.entries} + b.e) AS d "
+                     f"FROM parts t JOIN book{k} b USING (p) GROUP BY t.k, t.p)")
+        if k < settings.rounds:
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN "
+                         f"(SELECT t.p, d % {settings.entries} AS e, [{mean}] AS v FROM parts t JOIN near{k} USING (k, p) GROUP BY t.p, e) m "
+                         f"ON b.p = m.p AND b.e = m.e)")
+    last = settings.rounds
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label,
+                  list_transform(embedding, lambda x: floor({settings.scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT k, p, x[{part_size} * p + 1 : {part_size} * p + {part_size}] AS v FROM kept, range({settings.parts}) AS r(p)),
+book0 AS MATERIALIZED (SELECT p, k - 1 AS e, v FROM parts WHERE k <= {settings.entries}),
+{", ".join(steps)},
+coded AS (SELECT k, string_agg(format('{{:02x}}', d % {settings.entries}), '' ORDER BY p) AS code, sum(d // {settings.entries})::BIGINT AS error
+          FROM near{last} GROUP BY k),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (k) CROSS JOIN books"""
+
+
+SQL = {"op8_license_scan": _licenses(), "op4_quality_rules": _quality(), "op9_chat_format": _CHAT, "op10_merkle_fingerprints": _merkle(),
+       "op11_vector_codes": _codes(), "op13_warc": _WARC}
