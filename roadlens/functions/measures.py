@@ -16,7 +16,7 @@ def percentile_at(position: int) -> Column:
 def speeding() -> Column:
     """p85 above the limit; NULL where the hour has no distribution or the road no limit."""
     return F.when(F.col("speed_limit_kph") > 0,
-                  percentile_at(fixed.P85_POSITION) > F.col("speed_limit_kph"))
+                  F.col("p85_kph") > F.col("speed_limit_kph"))
 
 
 def congested() -> Column:

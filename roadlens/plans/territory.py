@@ -48,7 +48,7 @@ def road_signals(hourly: DataFrame, segments: DataFrame, job: Job, cell: Column)
         "dseg_id", "cell", "length_m", F.col("harmonic_speed_kph").alias("speed"),
         measures.spread_ratio().alias("spread"), measures.jammed().alias("jammed"),
         measures.speeding().alias("speeding"),
-        measures.percentile_at(fixed.P85_POSITION).isNull().alias("lone"),
+        F.col("p85_kph").isNull().alias("lone"),
         timeaxis.is_weekday_peak(timeaxis.local_hours()).alias("peak"))
     return hours.groupBy("dseg_id").agg(
         F.min("cell").alias("cell"), F.min("length_m").alias("length_m"),

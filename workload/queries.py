@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
-from datetime import date
+from dataclasses import replace
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,9 @@ from roadlens.functions.predicates import in_vintage
 from roadlens.operators.hours import measured
 from roadlens.params import Job
 from roadlens.operators import ordered
-from roadlens.plans import claims_model, map_report, risk, speed_report, territory, volume_report
+from roadlens.plans import claims_model, map_report, risk, segment_hours, speed_report, territory, volume_report
 from roadlens.session import durable, tune
+from roadlens.sources import colocated
 from roadlens.sources.tables import RoadTables
 from workload import adapters
 
@@ -37,6 +40,11 @@ def with_local_folder(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for tables that a query writes."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def register(build: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build(with_local_folder(tune(spark)), sf_dir)
@@ -224,6 +232,90 @@ def region_slice(spark, sf_dir):
     return speed_report.speeding_by_class(measured(cut.hourly, cut.segments, job))
 
 
+# The same reports from the table of sums -------------------------------------
+
+def _sums(spark, sf_dir):
+    """The week as two windows, each added up by a pass of its own and then merged."""
+    hours, roads = adapters.hourly(spark, sf_dir), adapters.segments(spark, sf_dir)
+    cut = date(2025, 9, 5)
+    return segment_hours.merged(
+        segment_hours.segment_hours(hours, roads, replace(JOB, last_date=cut)),
+        segment_hours.segment_hours(hours, roads, replace(JOB, first_date=cut + timedelta(days=1))))
+
+
+@register
+def sums_coverage_by_class(spark, sf_dir):
+    return segment_hours.coverage_by_class(_sums(spark, sf_dir), adapters.segments(spark, sf_dir))
+
+
+@register
+def sums_coverage_by_hour(spark, sf_dir):
+    return segment_hours.coverage_by_hour(_sums(spark, sf_dir))
+
+
+@register
+def sums_three_averages(spark, sf_dir):
+    return segment_hours.three_averages(_sums(spark, sf_dir))
+
+
+@register
+def sums_percentile_curve(spark, sf_dir):
+    return segment_hours.percentile_curve(_sums(spark, sf_dir))
+
+
+@register
+def sums_congestion_ratio(spark, sf_dir):
+    return rounded(segment_hours.congestion_ratio(_sums(spark, sf_dir)), ratio=6)
+
+
+@register
+def sums_speed_by_class_hour(spark, sf_dir):
+    return segment_hours.speed_by_class_hour(_sums(spark, sf_dir), adapters.segments(spark, sf_dir))
+
+
+@register
+def sums_speeding_by_hour(spark, sf_dir):
+    return segment_hours.speeding_by_hour(_sums(spark, sf_dir))
+
+
+@register
+def sums_speeding_by_class(spark, sf_dir):
+    return segment_hours.speeding_by_class(_sums(spark, sf_dir), adapters.segments(spark, sf_dir))
+
+
+@register
+def sums_cell_congestion(spark, sf_dir):
+    return segment_hours.cell_congestion(_sums(spark, sf_dir), adapters.segments(spark, sf_dir))
+
+
+@register
+def sums_road_signals(spark, sf_dir):
+    return rounded(segment_hours.road_signals(_sums(spark, sf_dir), adapters.segments(spark, sf_dir), _cell()), default=6)
+
+
+# Tables laid out by segment ---------------------------------------------------
+
+@register
+def colocated_cell_congestion(spark, sf_dir):
+    """Segments and hours written in the same buckets, then joined and added up without moving either."""
+    tag, layout = uuid.uuid4().hex, colocated.Layout(buckets=16)
+    colocated.write_segments(adapters.segments(spark, sf_dir), f"segments_{tag}", layout, f"{_folder(spark)}/segments_{tag}")
+    colocated.write_hours(adapters.hourly(spark, sf_dir), f"hours_{tag}", layout, f"{_folder(spark)}/hours_{tag}")
+    tables = colocated.colocated_tables(spark, f"segments_{tag}", f"hours_{tag}")
+    return speed_report.cell_congestion(measured(tables.hourly, tables.segments, JOB))
+
+
+@register
+def tile_pruned_speeding(spark, sf_dir):
+    """Speeding by class in one region, from hours laid out by tile and date."""
+    job = replace(JOB, region="austin")
+    tag, layout = uuid.uuid4().hex, colocated.Layout(buckets=4, by_tile=True)
+    colocated.write_hours(adapters.hourly(spark, sf_dir), f"hours_{tag}", layout, f"{_folder(spark)}/hours_{tag}")
+    roads = adapters.segments(spark, sf_dir).filter(F.col("region") == job.region)
+    tables = colocated.cut_by_tiles(RoadTables(segments=roads, hourly=spark.table(f"hours_{tag}")))
+    return speed_report.speeding_by_class(measured(tables.hourly, tables.segments, job))
+
+
 # Volume report ---------------------------------------------------------------
 
 def _vintage(spark, sf_dir):
