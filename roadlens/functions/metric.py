@@ -22,6 +22,7 @@ OSGB_SCALE_PPM = 20.4894
 NATIONAL_GRID_SCALE = 0.9996012717
 NATIONAL_GRID_ORIGIN_DEGREES = (49.0, -2.0)          # latitude, longitude
 NATIONAL_GRID_FALSE_ORIGIN_M = (400000.0, -100000.0)  # easting, northing
+NATIONAL_GRID_AREA = (-9.01, 49.75, 2.01, 61.01)      # west, south, east, north, degrees
 # --- end of fixed values -----------------------------------------------------
 
 
@@ -79,6 +80,11 @@ def _national_grid_arrays(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray,
 @F.pandas_udf(T.StructType([T.StructField("easting", T.DoubleType()),
                             T.StructField("northing", T.DoubleType())]))
 def _national_grid(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
+    west, south, east, north = NATIONAL_GRID_AREA
+    outside = (lon < west) | (lon > east) | (lat < south) | (lat > north)
+    if outside.any():
+        raise ValueError(f"({lon[outside].iloc[0]}, {lat[outside].iloc[0]}) lies outside the British National Grid. "
+                         f"Leave the projection out: distances then follow the great circle.")
     easting, northing = _national_grid_arrays(lon.to_numpy(), lat.to_numpy())
     return pd.DataFrame({"easting": easting, "northing": northing})
 

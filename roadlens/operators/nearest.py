@@ -1,11 +1,13 @@
-"""Bounded nearest neighbour as a bucketed equi-join."""
+"""Bounded nearest neighbour as a bucketed equi-join, on a metric plane or on the globe."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.functions.metric import planar_m
+from roadlens.functions.metric import EARTH_RADIUS_M, haversine_m, planar_m
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, keys: list[str], reach_m: float,
@@ -33,9 +35,68 @@ def nearest_within(points: DataFrame, targets: DataFrame, keys: list[str], reach
     placed = points.select(*keys, "easting", "northing",
                            square("easting").alias("_se"), square("northing").alias("_sn"))
     distance: Column = planar_m(F.col("easting"), F.col("northing"), F.col("_te"), F.col("_tn"))
-    candidates = placed.join(filed.drop("_de", "_dn"), ["_se", "_sn"]) \
-        .withColumn("_distance", distance).filter(F.col("_distance") < reach_m)
+    return _best(placed.join(filed.drop("_de", "_dn"), ["_se", "_sn"]), distance, keys, reach_m, label)
+
+
+def _best(candidates: DataFrame, distance: Column, keys: list[str], reach_m: float, label: list[str]) -> DataFrame:
+    """The nearest candidate of each point within the reach; equal distances go to the smaller tie-break."""
+    near = candidates.withColumn("_distance", distance).filter(F.col("_distance") < reach_m)
     best = F.min(F.struct("_distance", "_tie", *[f"_label_{name}" for name in label])).alias("_best")
-    return candidates.groupBy(*keys).agg(best).select(
+    return near.groupBy(*keys).agg(best).select(
         *keys, F.col("_best._distance").alias("distance_m"),
         *[F.col(f"_best._label_{name}").alias(name) for name in label])
+
+
+PAD = 1.001      # squares are a little wider than the reach, for what rounding could take off
+
+
+class Bands:
+    """The globe in rows as high as the reach, each cut into as many columns as are no narrower than it.
+
+    A row's columns are as wide, in degrees, as the reach can be anywhere in the row or the two beside it, so a target
+    within reach of a point lies in the point's column or one beside it, counted in the point's row. Near a pole a row
+    has one column, and the columns close around the date line.
+    """
+
+    def __init__(self, reach_m: float):
+        angle = PAD * reach_m / EARTH_RADIUS_M
+        self.height = math.degrees(angle)
+        self.half_chord = math.sin(min(angle / 2, math.pi / 2))
+
+    def row(self, lat: Column) -> Column:
+        return F.floor((lat + 90.0) / self.height)
+
+    def columns(self, row: Column) -> Column:
+        """How many columns the row has."""
+        south, north = (row - 1) * self.height - 90.0, (row + 2) * self.height - 90.0
+        outermost = F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(90.0))
+        share = F.lit(self.half_chord) / F.greatest(F.cos(F.radians(outermost)), F.lit(1e-12))
+        width = F.degrees(2 * F.asin(F.least(share, F.lit(1.0)))) * PAD
+        return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1)).cast("long")
+
+    def column(self, lon: Column, row: Column) -> Column:
+        count = self.columns(row)
+        return F.pmod(F.floor((lon + 180.0) / 360.0 * count), count)
+
+
+def nearest_around(points: DataFrame, targets: DataFrame, keys: list[str], reach_m: float,
+                   label: list[str], tie_break: str) -> DataFrame:
+    """`nearest_within` for `lon` and `lat` in degrees, anywhere on the globe; the great circle decides.
+
+    Each target is filed in its own row and the rows above and below, there in its own column and the ones beside
+    it, by that row's columns: nine copies at most. `targets` must be sparse, as for `nearest_within`. Points without
+    coordinates have no neighbour.
+    """
+    bands = Bands(reach_m)
+    filed = targets.select(
+        F.col("lon").alias("_tlon"), F.col("lat").alias("_tlat"), F.col(tie_break).alias("_tie"),
+        *[F.col(name).alias(f"_label_{name}") for name in label],
+        F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda step: bands.row(F.col("lat")) + step)).alias("_row")) \
+        .withColumns({"_count": bands.columns(F.col("_row")), "_own": bands.column(F.col("_tlon"), F.col("_row"))})
+    beside = F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda step: F.pmod(F.col("_own") + step, F.col("_count"))))
+    filed = filed.withColumn("_column", F.explode(beside)).drop("_count", "_own")
+    row = bands.row(F.col("lat"))
+    placed = points.select(*keys, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), row.alias("_row")) \
+        .withColumn("_column", bands.column(F.col("_lon"), F.col("_row")))
+    distance = haversine_m(F.col("_lon"), F.col("_lat"), F.col("_tlon"), F.col("_tlat"))
+    return _best(placed.join(filed, ["_row", "_column"]), distance, keys, reach_m, label)

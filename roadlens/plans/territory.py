@@ -9,17 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens import fixed
-from roadlens.functions import geometry, grid, measures, metric, timeaxis
+from roadlens.functions import geometry, grid, measures, timeaxis
 from roadlens.functions.predicates import has_limit, in_region, in_vintage, is_road
 from roadlens.operators.hours import road_hours
-from roadlens.operators.nearest import nearest_within
+from roadlens.operators.nearest import nearest_around, nearest_within
 from roadlens.params import Job
 from roadlens.session import durable
 from roadlens.sources.tables import RoadTables
 
 LEVEL = grid.LEVEL_FOR_RESOLUTION[9]
 
-Projection = Callable[[DataFrame], DataFrame]
+# Adds `easting` and `northing` to rows with `lon` and `lat`. Without one, distances follow the great circle.
+Projection = Callable[[DataFrame], DataFrame] | None
 
 VOLUME_COLUMNS = ["volume_km", "vehicle_km_per_day", "major_vehicle_km_per_day",
                   "weekday_vehicle_km_per_day", "weekend_vehicle_km_per_day"]
@@ -130,14 +131,14 @@ def postcode_size(map_segments: DataFrame, job: Job) -> DataFrame:
 
 
 def with_centres(cells: DataFrame, level: int = LEVEL,
-                 project: Projection = metric.national_grid) -> DataFrame:
-    """Cells with the longitude and latitude of their centre, and its place on a metric grid."""
-    return project(cells.withColumn("lon", grid.centre_lon(F.col("cell"), level))
-                   .withColumn("lat", grid.centre_lat(F.col("cell"), level)))
+                 project: Projection = None) -> DataFrame:
+    """Cells with the longitude and latitude of their centre, and its place on a metric grid if there is one."""
+    placed = cells.withColumns({"lon": grid.centre_lon(F.col("cell"), level), "lat": grid.centre_lat(F.col("cell"), level)})
+    return placed if project is None else project(placed)
 
 
 def mapped_cells(segments: DataFrame, job: Job, cell: Column, level: int = LEVEL,
-                 project: Projection = metric.national_grid) -> DataFrame:
+                 project: Projection = None) -> DataFrame:
     """The cells that hold a mapped segment, with their centres."""
     cells = segments.filter(in_region(job)).select(cell.alias("cell")).distinct()
     return with_centres(cells, level, project)
@@ -164,7 +165,9 @@ def inside_labels(labelled: DataFrame, mapped: DataFrame) -> DataFrame:
 def nearest_postcode(mapped: DataFrame, labelled: DataFrame,
                      reach_m: float = fixed.MAX_ASSIGNMENT_M) -> DataFrame:
     """Cell, postcode of the nearest labelled cell, and its distance; nothing beyond the reach."""
-    return nearest_within(mapped, labelled, ["cell"], reach_m, ["postcode"], "cell")
+    metric_plane = "easting" in mapped.columns and "easting" in labelled.columns
+    nearest = nearest_within if metric_plane else nearest_around
+    return nearest(mapped, labelled, ["cell"], reach_m, ["postcode"], "cell")
 
 
 def postcode_centres(labelled: DataFrame) -> DataFrame:
@@ -212,13 +215,18 @@ def placed_collisions(collisions: DataFrame, labelled: DataFrame, features: Data
     """Collisions and serious collisions per postcode, year and month.
 
     Reports are counted per exact place and month before places are assigned, so many reports at one
-    spot are placed once. Places in postcodes without features are dropped.
+    spot are placed once. Places in postcodes without features are dropped. Collisions lie on a metric grid
+    (`easting`, `northing`), and then the labelled cells must too, or on the globe (`lon`, `lat`).
     """
+    on_grid = "easting" in collisions.columns
+    if on_grid and "easting" not in labelled.columns:
+        raise ValueError("These collisions are on a metric grid. Give the territory the projection to that grid.")
+    spot = ["easting", "northing"] if on_grid else ["lon", "lat"]
+    nearest = nearest_within if on_grid else nearest_around
     serious = F.col("severity").isin(fixed.SERIOUS_SEVERITIES).cast("int")
-    places = collisions.groupBy("easting", "northing", "year", "month").agg(
+    places = collisions.groupBy(*spot, "year", "month").agg(
         F.count("*").alias("collisions"), F.coalesce(F.sum(serious), F.lit(0)).alias("ksi"))
-    found = nearest_within(places, labelled, ["easting", "northing", "year", "month", "collisions", "ksi"],
-                           reach_m, ["postcode"], "cell")
+    found = nearest(places, labelled, [*spot, "year", "month", "collisions", "ksi"], reach_m, ["postcode"], "cell")
     return found.join(features.select("postcode"), "postcode", "left_semi") \
         .groupBy("postcode", "year", "month").agg(
             F.sum("collisions").alias("collisions"), F.sum("ksi").alias("ksi"))
@@ -250,10 +258,12 @@ class Territory:
     features: DataFrame   # one row per postcode
 
 
-def territory(tables: RoadTables, job: Job, level: int = LEVEL,
-              project: Projection = metric.national_grid) -> Territory:
+def territory(tables: RoadTables, job: Job, level: int = LEVEL, project: Projection = None) -> Territory:
     """Cells, labels, assignment and features of one region.
 
+    Distances follow the great circle, in any region. With `project`, such as `metric.national_grid` in Britain, they are
+    those of that grid, and collisions reported on it can be placed.
+
     The labels (one row per cell) are written down once, because five frames read them and lines
     should be decoded once. The assignment works on cell ids only, so the hours are read once.
     """

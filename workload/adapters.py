@@ -45,16 +45,20 @@ def _region(block: Column) -> Column:
                         (block % 3 + 1).cast("int"))
 
 
-def _place(df: DataFrame, key: str, per_block: int) -> DataFrame:
+# South-west corner of the first block, in millionths of a degree.
+LONDON, AUSTIN = (-500000, 51200000), (-97950000, 30100000)
+
+
+def _place(df: DataFrame, key: str, per_block: int, corner: tuple[int, int] = LONDON) -> DataFrame:
     """Block, cell of the block and south-west corner in millionths of a degree."""
     k = _i(key)
     return (df.withColumn("k", k)
             .withColumn("b", _div(F.col("k"), per_block))
             .withColumn("j", F.col("k") * 13 % 49)
             .withColumn("region", _region(F.col("b")))
-            .withColumn("lon_u", -500000 + F.col("b") % 20 * 50000 + F.col("j") % 7 * 5000
+            .withColumn("lon_u", corner[0] + F.col("b") % 20 * 50000 + F.col("j") % 7 * 5000
                         + F.col("k") % 5 * 400)
-            .withColumn("lat_u", 51200000 + _div(F.col("b"), 20) % 400 * 30000
+            .withColumn("lat_u", corner[1] + _div(F.col("b"), 20) % 400 * 30000
                         + _div(F.col("j"), 7) * 3000 + F.col("k") % 3 * 300))
 
 
@@ -66,12 +70,12 @@ def _text(micro: Column) -> Column:
     return F.format_string("%.6f", _degrees(micro))
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments_with_size(spark, sf_dir).drop("p_size")
+def segments(spark: SparkSession, sf_dir: str, corner: tuple[int, int] = LONDON) -> DataFrame:
+    return _segments_with_size(spark, sf_dir, corner).drop("p_size")
 
 
-def _segments_with_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _place(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", PARTS_PER_BLOCK)
+def _segments_with_size(spark: SparkSession, sf_dir: str, corner: tuple[int, int] = LONDON) -> DataFrame:
+    part = _place(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", PARTS_PER_BLOCK, corner)
     k, b, j = F.col("k"), F.col("b"), F.col("j")
     frc = k % 7 + F.when(k % 7 < 5, 0).otherwise(1)
     cell = (F.lit(H3_BASE) + j % 7 * (1 << 18) + _div(j, 7) * (1 << 21) + b % 7 * (1 << 24)
@@ -115,9 +119,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         _div(F.col("l_partkey"), PARTS_PER_BLOCK).alias("tile_id"))
 
 
-def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def volumes(spark: SparkSession, sf_dir: str, corner: tuple[int, int] = LONDON) -> DataFrame:
     """Small parts carry no estimate; the largest ones only gained theirs in the later vintage."""
-    part = _segments_with_size(spark, sf_dir)
+    part = _segments_with_size(spark, sf_dir, corner)
     k = F.col("dseg_id")
     vintages = F.when(F.col("p_size") > 45, F.array(F.lit(2025))) \
         .otherwise(F.array(F.lit(2024), F.lit(2025)))
@@ -165,8 +169,8 @@ def _wkb_line(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, f
     return pa.array([data[i:i + size] for i in range(0, len(data), size)], pa.binary())
 
 
-def map_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _place(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", ORDERS_PER_BLOCK)
+def map_segments(spark: SparkSession, sf_dir: str, corner: tuple[int, int] = LONDON) -> DataFrame:
+    orders = _place(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", ORDERS_PER_BLOCK, corner)
     k, b, j = F.col("k"), F.col("b"), F.col("j")
     lon, lat = F.col("lon_u"), F.col("lat_u")
     line = [_degrees(x) for x in (lon, lat, lon + 1500, lat + 700, lon + 4000, lat + 900)]
@@ -282,10 +286,11 @@ def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located_collisions(collision_reports(spark, sf_dir))
 
 
-def road_tables(spark: SparkSession, sf_dir: str) -> RoadTables:
+def road_tables(spark: SparkSession, sf_dir: str, corner: tuple[int, int] = LONDON) -> RoadTables:
+    """All tables; roads and volumes begin at `corner`."""
     return RoadTables(
-        segments=segments(spark, sf_dir), hourly=hourly(spark, sf_dir),
-        volumes=volumes(spark, sf_dir), coverage=coverage(spark, sf_dir),
-        map_segments=map_segments(spark, sf_dir), map_connectors=connectors(spark, sf_dir),
+        segments=segments(spark, sf_dir, corner), hourly=hourly(spark, sf_dir),
+        volumes=volumes(spark, sf_dir, corner), coverage=coverage(spark, sf_dir),
+        map_segments=map_segments(spark, sf_dir, corner), map_connectors=connectors(spark, sf_dir),
         traffic_signs=traffic_signs(spark, sf_dir), traffic_signals=traffic_signals(spark, sf_dir),
         signposts=signposts(spark, sf_dir))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadlens import fixed
-from roadlens.functions import grid
+from roadlens.functions import grid, metric
 from roadlens.functions.predicates import in_vintage
 from roadlens.operators.hours import measured
 from roadlens.params import Job
@@ -519,7 +519,13 @@ def segment_features(spark, sf_dir):
 # Territory -------------------------------------------------------------------
 
 def _territory(spark, sf_dir):
-    return territory.territory(adapters.road_tables(spark, sf_dir), JOB)
+    """The job's region lies in Britain, whose collisions are reported on the national grid."""
+    return territory.territory(adapters.road_tables(spark, sf_dir), JOB, project=metric.national_grid)
+
+
+def _abroad(spark, sf_dir):
+    """The same roads placed around Austin, where distances follow the great circle."""
+    return territory.territory(adapters.road_tables(spark, sf_dir, adapters.AUSTIN), JOB)
 
 
 def _cell():
@@ -564,7 +570,7 @@ def postcode_size(spark, sf_dir):
 
 @register
 def cell_centres(spark, sf_dir):
-    mapped = territory.mapped_cells(adapters.segments(spark, sf_dir), JOB, _cell())
+    mapped = territory.mapped_cells(adapters.segments(spark, sf_dir), JOB, _cell(), project=metric.national_grid)
     return rounded(mapped, lon=6, lat=6, easting=2, northing=2)
 
 
@@ -573,6 +579,21 @@ def nearest_postcode(spark, sf_dir):
     return rounded(_territory(spark, sf_dir).nearest, distance_m=2)
 
 
+@register
+def cell_postcode_abroad(spark, sf_dir):
+    return _abroad(spark, sf_dir).labelled.select("cell", "postcode", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@register
+def nearest_postcode_abroad(spark, sf_dir):
+    return rounded(_abroad(spark, sf_dir).nearest, distance_m=2)
+
+
+@register
+def postcode_features_abroad(spark, sf_dir):
+    return rounded(_abroad(spark, sf_dir).features, default=6)
+
+
 @register
 def edge_postcodes(spark, sf_dir):
     return _territory(spark, sf_dir).edges
