@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,9 +113,8 @@ def cell_postcode(map_segments: DataFrame, job: Job, level: int = LEVEL,
     postcodes = F.transform("codes", lambda code: code["postcode"])
     if count_by == "road":
         postcodes = F.array_distinct(postcodes)
-    rows = roads.select(
-        geometry.wkb_vertices("geometry").alias("line"), postcodes.alias("postcodes")) \
-        .select(F.explode(grid.cells_of_line(F.col("line"), level)).alias("cell"), "postcodes") \
+    rows = roads.select(geometry.wkb_cells(F.col("geometry"), level).alias("cells"), postcodes.alias("postcodes")) \
+        .select(F.explode("cells").alias("cell"), "postcodes") \
         .select("cell", F.explode("postcodes").alias("postcode"))
     counts = rows.groupBy("cell", "postcode").agg(F.count("*").alias("rows"))
     first = F.min(F.struct((-F.col("rows")).alias("rank"), "postcode"))
@@ -244,18 +243,57 @@ def collision_panel(placed: DataFrame, features: DataFrame, target_year: int = f
         .fillna(0, ["collisions", "ksi", "prior_collisions", "prior_ksi"])
 
 
-@dataclass(frozen=True)
 class Territory:
-    """The frames between map and model."""
+    """The frames between map and model, each built when it is first asked for.
 
-    layer: DataFrame      # every mapped cell with its traffic and speed signals
-    mapped: DataFrame     # mapped cells with their centres
-    labelled: DataFrame   # cells with the postcode their roads carry
-    inside: DataFrame     # the labelled cells inside the extract
-    edges: DataFrame      # postcodes cut by the edge of the extract
-    nearest: DataFrame    # mapped cells with the postcode they join
-    assigned: DataFrame   # the layer with that postcode
-    features: DataFrame   # one row per postcode
+    The labels and the mapped cells (one row per cell each) are written down once, because five frames read the
+    labels and four the mapped cells. The assignment works on cell ids only, so the hours are read once.
+    """
+
+    def __init__(self, tables: RoadTables, job: Job, level: int, project: Projection):
+        self.tables, self.job, self.level, self.project = tables, job, level, project
+        self.cell = grid.cell_of_box(level)
+
+    @cached_property
+    def mapped(self) -> DataFrame:
+        """Mapped cells with their centres."""
+        return durable(mapped_cells(self.tables.segments, self.job, self.cell, self.level, self.project))
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """Cells with the postcode their roads carry."""
+        return durable(with_centres(cell_postcode(self.tables.map_segments, self.job, self.level), self.level, self.project))
+
+    @cached_property
+    def inside(self) -> DataFrame:
+        """The labelled cells inside the extract."""
+        return inside_labels(self.labelled, self.mapped)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Postcodes cut by the edge of the extract."""
+        return edge_postcodes(self.labelled, self.mapped)
+
+    @cached_property
+    def nearest(self) -> DataFrame:
+        """Mapped cells with the postcode they join."""
+        return nearest_postcode(self.mapped, self.inside)
+
+    @cached_property
+    def layer(self) -> DataFrame:
+        """Every mapped cell with its traffic and speed signals."""
+        return cell_layer(self.tables, self.job, self.cell)
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        """The layer with the postcode of each cell."""
+        return self.layer.join(self.nearest.select("cell", "postcode"), "cell", "left")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """One row per postcode."""
+        return postcode_features(self.assigned, postcode_size(self.tables.map_segments, self.job), self.edges,
+                                 postcode_centres(self.inside))
 
 
 def territory(tables: RoadTables, job: Job, level: int = LEVEL, project: Projection = None) -> Territory:
@@ -263,20 +301,8 @@ def territory(tables: RoadTables, job: Job, level: int = LEVEL, project: Project
 
     Distances follow the great circle, in any region. With `project`, such as `metric.national_grid` in Britain, they are
     those of that grid, and collisions reported on it can be placed.
-
-    The labels (one row per cell) are written down once, because five frames read them and lines
-    should be decoded once. The assignment works on cell ids only, so the hours are read once.
     """
-    cell = grid.cell_of_box(level)
-    mapped = mapped_cells(tables.segments, job, cell, level, project)
-    labelled = durable(with_centres(cell_postcode(tables.map_segments, job, level), level, project))
-    inside, edges = inside_labels(labelled, mapped), edge_postcodes(labelled, mapped)
-    nearest = nearest_postcode(mapped, inside)
-    layer = cell_layer(tables, job, cell)
-    assigned = layer.join(nearest.select("cell", "postcode"), "cell", "left")
-    features = postcode_features(assigned, postcode_size(tables.map_segments, job), edges,
-                                 postcode_centres(inside))
-    return Territory(layer, mapped, labelled, inside, edges, nearest, assigned, features)
+    return Territory(tables, job, level, project)
 
 
 def claims_panel(frames: Territory, collisions: DataFrame) -> tuple[DataFrame, DataFrame]:

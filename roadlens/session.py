@@ -11,6 +11,9 @@ RUNTIME_SETTINGS = {
     # A hot segment may be split even where the aggregate above the join would have reused
     # the join's partitioning; the price is one more shuffle of partial sums.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # HotSpot never compiles a method of more than 8000 bytes. A stage whose loop would be longer runs
+    # faster operator by operator, each of them compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Tables laid out by segment meet on (segment, tile) without being laid out anew by both: a
     # segment lies in one tile.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",

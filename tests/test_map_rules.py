@@ -3,6 +3,7 @@
 import json
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -122,3 +123,30 @@ def test_features_are_written_by_tasks(spark, tmp_path):
     assert got[0] == {"type": "Feature", "properties": {"id": 1, "speed": None},
                       "geometry": {"type": "LineString", "coordinates": [[0.0, 1.0], [2.0, 3.0]]}}
     assert got[1]["properties"]["speed"] == 5.0
+
+
+def wkb_line(points, order="<", extra=0, srid=False):
+    kind = 2 | (0x80000000 if extra else 0) | (0x20000000 if srid else 0)
+    body = struct.pack(order + "BI", 1 if order == "<" else 0, kind) + (struct.pack(order + "I", 4326) if srid else b"")
+    return body + struct.pack(order + "I", len(points)) + b"".join(struct.pack(order + "2d", *p) + struct.pack(order + "d", 7.0) * extra for p in points)
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_cells_of_wkb_lines_equal_the_cover_of_their_vertices(spark, mixed):
+    rng = np.random.default_rng(8)
+    step = 360 / (1 << 17)
+    rows = [(None,), (wkb_line([]),), (wkb_line([(0.5 * step, 0.5 * step)]),), (wkb_line([(0.0, 0.0), (0.0, 3 * step), (step, 3 * step)]),)]
+    for n in rng.integers(1, 9, 200):
+        points = (rng.normal(0, 4, (n, 2)) * step).round(9) + ([0.0, 0.0], [-0.1, 51.5], [-97.8, 30.2])[rng.integers(3)]
+        rows.append((wkb_line([tuple(p) for p in points]),))
+    if mixed:
+        rows += [(wkb_line([(0.1, 0.2), (0.1003, 0.2004)], order, extra, srid),) for order in "<>" for extra in (0, 1) for srid in (False, True)]
+    df = spark.createDataFrame(rows, "geometry binary").coalesce(1)
+    vertices = geometry.wkb_vertices("geometry")
+    made = df.select(geometry.wkb_cells(F.col("geometry"), 17).alias("fast"), vertices.alias("v")) \
+        .select("fast", F.size("v").alias("n"), grid.cells_of_line(F.col("v"), 17).alias("slow")).collect()
+    assert sum(r.fast is None for r in made) == 1
+    for r in made:
+        if r.n is not None and r.n > 0:
+            assert r.fast == sorted(set(r.slow)) and len(r.fast) >= 1
+    assert [r.fast for r in made if r.n == 0] == [[]]

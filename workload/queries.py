@@ -518,14 +518,19 @@ def segment_features(spark, sf_dir):
 
 # Territory -------------------------------------------------------------------
 
+def _territory_tables(spark, sf_dir, corner=adapters.LONDON):
+    return RoadTables(segments=adapters.segments(spark, sf_dir, corner), hourly=adapters.hourly(spark, sf_dir),
+                      volumes=adapters.volumes(spark, sf_dir, corner), map_segments=adapters.map_segments(spark, sf_dir, corner))
+
+
 def _territory(spark, sf_dir):
     """The job's region lies in Britain, whose collisions are reported on the national grid."""
-    return territory.territory(adapters.road_tables(spark, sf_dir), JOB, project=metric.national_grid)
+    return territory.territory(_territory_tables(spark, sf_dir), JOB, project=metric.national_grid)
 
 
 def _abroad(spark, sf_dir):
     """The same roads placed around Austin, where distances follow the great circle."""
-    return territory.territory(adapters.road_tables(spark, sf_dir, adapters.AUSTIN), JOB)
+    return territory.territory(_territory_tables(spark, sf_dir, adapters.AUSTIN), JOB)
 
 
 def _cell():
