@@ -10,8 +10,8 @@ take that first. So an occurrence is merged in this round only if no earlier one
 such a pair; the rest waits. That makes the result the library's, one merge after another. Words are
 cut further between two characters that are adjacent in no piece.
 
-A word of more than `LONG` symbols that needs more than `ROUNDS` rounds (long runs of blanks do) is finished with a
-priority queue, in n log n steps and to the same result.
+A word that still has more than `LONG` symbols after `ROUNDS` rounds (a run of thousands of blanks can) is finished on its own with a
+priority queue, in n log n steps and to the same result; all other words of the batch stay in the rounds.
 
 A character outside the vocabulary is given as the pieces of its UTF-8 bytes.
 
@@ -206,13 +206,16 @@ class Model:
             keep[hit + 1] = False
             symbols, place, segment = symbols[keep], place[keep], segment[keep]
             rounds += 1
-            if rounds >= ROUNDS and len(symbols) > LONG:
+            if rounds == ROUNDS:
                 bounds = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]]))
-                for s, e in zip(bounds[:-1], bounds[1:]):
-                    left_over, at = self._queued(symbols[s:e].tolist())
+                long = np.diff(bounds) > LONG
+                for begin, end in zip(bounds[:-1][long], bounds[1:][long]):
+                    left_over, at = self._queued(symbols[begin:end].tolist())
                     done_symbols.append(np.array(left_over, "int64"))
-                    done_places.append(place[s:e][at])
-                symbols, place = symbols[:0], place[:0]
+                    done_places.append(place[begin:end][at])
+                if long.any():
+                    stay = np.repeat(~long, np.diff(bounds))
+                    symbols, place, segment = symbols[stay], place[stay], segment[stay]
         done_symbols.append(symbols)
         done_places.append(place)
         symbols, place = np.concatenate(done_symbols), np.concatenate(done_places)
@@ -293,16 +296,16 @@ class Model:
 
 
 def _lenient(data: bytes) -> str:
-    """UTF-8 in which every byte that starts no valid character becomes U+FFFD."""
+    """UTF-8 in which every byte that starts no valid character becomes U+FFFD, in one pass."""
     out, at = [], 0
     while at < len(data):
+        size = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
         try:
-            out.append(data[at:].decode())
-            break
-        except UnicodeDecodeError as bad:
-            out.append(data[at:at + bad.start].decode())
-            out.append("�")
-            at += bad.start + 1
+            out.append(data[at:at + size].decode())
+            at += size
+        except UnicodeDecodeError:
+            out.append("\ufffd")
+            at += 1
     return "".join(out)
 
 
