@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts:
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int | None = None) -> DataFrame:
     """The documents with all their columns, one of each group: smallest id (NULL last), then text hash.
 
-    Rows alike in id and text are told apart by a row number, and one of them stays.
+    Of rows alike in id and text the first by their other columns, read as JSON, stays.
     """
     rows, groups, hot = grouped(docs, shingle, distance, parts)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -162,5 +162,5 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int
     keyed = docs.select(F.struct("*").alias("row")).select(
         "row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("hash"))
     met = keyed.join(stay, keyed["id"].eqNullSafe(stay["doc_id"]) & (keyed["hash"] == stay["text_hash"]), "left_semi")
-    first = Window.partitionBy("id", "hash").orderBy(F.lit(0))
+    first = Window.partitionBy("id", "hash").orderBy(F.to_json("row"))
     return met.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
