@@ -100,3 +100,9 @@ def encoder(path: str) -> ChunkEncoder:
     if path not in _LOADED:
         _LOADED[path] = ChunkEncoder(path)
     return _LOADED[path]
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file, special tokens included."""
+    from tokenizers import Tokenizer
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1

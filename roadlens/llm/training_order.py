@@ -4,16 +4,20 @@ Documents are encoded and each task cuts its stream of ids (every document ended
 sequences of `length` ids, the last one padded. The sequences are written down once, so their number N is
 exact. A balanced Feistel network over the next even power of two, walked until it lands below N, is a keyed
 permutation of 0 .. N-1: it gives every sequence its slot without a sort, and its inverse finds the
-sequence of a slot. Slots are cut into ranges of `per_shard`; a range is one shuffle partition's
-group, of bounded size, and is written as one file of records of `length` ids of 2 bytes (4 for large vocabularies).
-Slot s lies in file s // per_shard at record s % per_shard, so training reads files in order and
-resumes at any slot without an index.
+sequence of a slot. Slots are cut into ranges of `per_shard`; the ranges are the shuffle's partitions, one
+task a range (several neighbouring ones beyond `MOST_TASKS`), and a range is written as one file of records of `length` ids of 2 bytes, or of
+4 where the vocabulary has more than 65,536 entries. Slot s lies in file s // per_shard at record s % per_shard, so training reads
+files in order and resumes at any slot without an index.
 
 A shard is written under a name of its own and then renamed: a repeated task writes the same bytes.
-Blocks of sequences travel compressed. Only one count per task reaches the driver.
+The index of all slots is written next, and a manifest of one row (N, key, length, width, slots a shard, end id) last:
+a folder without a manifest is not complete. `read_slots` takes all it needs from the manifest.
+
+Blocks of sequences travel compressed. Only one count per task reaches the driver. Which sequence gets which number follows the
+order of the input's rows and its split into tasks; a rerun over the same files with the same settings repeats it.
 
 Defined cases: a NULL text is empty and gives its end id. A sequence may span documents of one task. Repeated rows
-are encoded each. No rows give no shard and no row. Other columns are not read.
+are encoded each. No rows give no shard, no row, and a manifest with N = 0. An id that does not fit the width ends the job. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,16 +25,17 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlens.llm.files import committed, located, store_of
 from roadlens.llm.store import shared_folder, written
-from roadlens.llm.tokens import encoder
+from roadlens.llm.tokens import encoder, vocabulary_size
 
+MOST_TASKS = 10_000
 ROUNDS = 6
 BLOCK = 512                       # sequences compressed together
 LEVEL = 3
@@ -42,7 +47,20 @@ class Order:
     length: int = 1024
     per_shard: int = 16384
     end_id: int = 0
-    kind: str = "<u2"
+    kind: str | None = None        # of an id: "<u2" or "<u4"; by the vocabulary if None
+
+    def for_tokenizer(self, tokenizer: str) -> "Order":
+        """The order with the width that the tokenizer's vocabulary needs, or ValueError if a given one is too narrow."""
+        size = vocabulary_size(tokenizer)
+        kind = self.kind or ("<u2" if size <= 1 << 16 else "<u4")
+        if max(size, self.end_id + 1) > 1 << 8 * np.dtype(kind).itemsize:
+            raise ValueError(f"ids of {tokenizer} ({size} entries) do not fit {kind}")
+        return replace(self, kind=kind)
+
+    @property
+    def record(self) -> int:
+        """Bytes of one sequence."""
+        return self.length * np.dtype(self.kind).itemsize
 
 
 def _mix(half: np.ndarray, key: int, turn: int) -> np.ndarray:
@@ -79,6 +97,7 @@ def sequences(docs: DataFrame, tokenizer: str, order: Order = Order(), texts_at_
     `tokens` counts the ids of the block without padding.
     """
     import pyarrow as pa
+    order = order.for_tokenizer(tokenizer)
     schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("tokens", pa.int64()), ("block", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +130,20 @@ def sequences(docs: DataFrame, tokenizer: str, order: Order = Order(), texts_at_
     return docs.select("text").mapInArrow(run, "part int, first long, n long, tokens long, block binary")
 
 
+MANIFEST = "n long, key long, length int, per_shard int, end_id long, kind string, tokenizer string"
+
+
 def materialise(docs: DataFrame, tokenizer: str, folder: str | None = None, order: Order = Order()) -> DataFrame:
-    """Write the shards when the result is evaluated: slot, shard, byte_offset, n_tokens, ids_crc32 and the sequence's place."""
+    """Write shards, index and manifest; the index: slot, shard, byte_offset, n_tokens, ids_crc32, sequence, folder."""
     import pyarrow as pa
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}"
+    order = order.for_tokenizer(tokenizer)
+    folder = located(spark, folder or f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}")
     blocks = written(sequences(docs, tokenizer, order), "sequences")
     counts = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect())
     begins = dict(zip([p for p, _ in counts], np.cumsum([0] + [n for _, n in counts]).tolist()))
     total = sum(n for _, n in counts)
-    record = order.length * np.dtype(order.kind).itemsize
+    record, shards = order.record, -(-total // order.per_shard)
     schema = pa.schema([("shard", pa.int64()), ("slots", pa.binary()), ("index", pa.binary()), ("tokens", pa.binary()), ("block", pa.binary())])
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +156,11 @@ def materialise(docs: DataFrame, tokenizer: str, folder: str | None = None, orde
             index, tokens = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             records = np.concatenate([h[2] for h in held])
             slots = permute(index, total, order.key)
-            shards = slots // order.per_shard
-            by = np.argsort(shards, kind="stable")
-            bounds = np.flatnonzero(np.diff(shards[by], prepend=-1))
+            shard_of = slots // order.per_shard
+            by = np.argsort(shard_of, kind="stable")
+            bounds = np.flatnonzero(np.diff(shard_of[by], prepend=-1))
             groups = np.split(by, bounds[1:])
-            rows = [(int(shards[g[0]]), slots[g].tobytes(), index[g].tobytes(), tokens[g].tobytes(), squeeze(records[g].tobytes())) for g in groups]
+            rows = [(int(shard_of[g[0]]), slots[g].tobytes(), index[g].tobytes(), tokens[g].tobytes(), squeeze(records[g].tobytes())) for g in groups]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
             for row in batch.to_pylist():
@@ -152,47 +175,64 @@ def materialise(docs: DataFrame, tokenizer: str, folder: str | None = None, orde
         if held:
             yield out()
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
+    index_schema = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("byte_offset", pa.int64()), ("n_tokens", pa.int64()),
+                              ("ids_crc32", pa.int64()), ("sequence", pa.int64())])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards of one task, one after another; its rows come sorted by shard."""
         import zstandard
-        from pyarrow import fs
-        shard, open_ = int(rows["shard"].iloc[0]), zstandard.ZstdDecompressor().decompress
-        base = shard * order.per_shard
-        image = np.zeros((min(order.per_shard, total - base), record), "uint8")
-        slots, index, tokens = (np.concatenate([np.frombuffer(b, "int64") for b in rows[c]]) for c in ("slots", "index", "tokens"))
-        at = 0
-        for block in rows["block"]:
-            records = np.frombuffer(open_(block), "uint8").reshape(-1, record)
-            image[slots[at:at + len(records)] - base] = records
-            at += len(records)
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        store.create_dir(path, recursive=True)
-        own = f"{path}/.shard-{shard:08d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as file:
-            file.write(memoryview(image).cast("B"))
-        store.move(own, f"{path}/shard-{shard:08d}.bin")
-        return pd.DataFrame({"slot": slots, "shard": shard, "byte_offset": (slots - base) * record, "n_tokens": tokens,
-                             "ids_crc32": [zlib.crc32(image[s - base].tobytes()) for s in slots], "sequence": index})
+        open_, now, image, found = zstandard.ZstdDecompressor().decompress, None, None, []
+
+        def done() -> pa.RecordBatch:
+            slots, index, tokens = (np.concatenate([f[i] for f in found]) for i in range(3))
+            base = now * order.per_shard
+            if len(slots) != len(image):
+                raise ValueError(f"shard {now} has {len(slots)} of {len(image)} sequences")
+            with committed(folder, f"shard-{now:08d}.bin") as stream:
+                stream.write(memoryview(image).cast("B"))
+            crc = [zlib.crc32(image[s - base].tobytes()) for s in slots]
+            columns = [slots, np.full(len(slots), now), (slots - base) * record, tokens, crc, index]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, index_schema)], schema=index_schema)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != now:
+                    if now is not None:
+                        yield done()
+                    now, found = row["shard"], []
+                    image = np.zeros((min(order.per_shard, total - now * order.per_shard), record), "uint8")
+                slots, index, tokens = (np.frombuffer(row[c], "int64") for c in ("slots", "index", "tokens"))
+                image[slots - now * order.per_shard] = np.frombuffer(open_(row["block"]), "uint8").reshape(-1, record)
+                found.append((slots, index, tokens))
+        if now is not None:
+            yield done()
     moved = blocks.mapInArrow(scatter, "shard long, slots binary, index binary, tokens binary, block binary")
-    return moved.groupBy("shard").applyInPandas(
-        write, "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, sequence long") \
-        .withColumn("folder", F.lit(folder))
-
-
-def read_slots(folder: str, first: int, count: int, order: Order = Order()) -> np.ndarray:
-    """`count` sequences from slot `first` on, by range reads; fewer at the end."""
-    from pyarrow import fs
-    store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    record, out = order.length * np.dtype(order.kind).itemsize, []
-    while count > 0:
-        name = f"{path}/shard-{first // order.per_shard:08d}.bin"
-        if store.get_file_info(name).type == fs.FileType.NotFound:
-            break
-        with store.open_input_file(name) as file:
-            at = first % order.per_shard
-            data = file.read_at(min(count, order.per_shard - at) * record, at * record)
-        got = len(data) // record
-        out.append(np.frombuffer(data, order.kind).reshape(got, order.length))
-        first, count = first + got, count - got
-        if not got:
-            break
+    tasks = max(1, min(shards, MOST_TASKS))
+    ranged = moved.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(max(shards, 1))).cast("int")).sortWithinPartitions("shard")
+    index = "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, sequence long"
+    ranged.mapInArrow(write, index).write.parquet(f"{folder}/index")
+    name = tokenizer.rsplit("/", 1)[-1]
+    spark.createDataFrame([(total, order.key, order.length, order.per_shard, order.end_id, order.kind, name)], MANIFEST) \
+        .coalesce(1).write.parquet(f"{folder}/manifest")
+    return spark.read.schema(index).parquet(f"{folder}/index").withColumn("folder", F.lit(folder))
+
+
+def read_slots(spark: SparkSession, folder: str, first: int, count: int) -> np.ndarray:
+    """`count` sequences from slot `first` on, by range reads; fewer at the end. Raises without a manifest."""
+    folder = located(spark, folder)
+    known = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").first()
+    order = Order(known["key"], known["length"], known["per_shard"], known["end_id"], known["kind"])
+    store, path = store_of(folder)
+    out, last = [], min(first + count, known["n"])
+    while first < last:
+        shard, at = divmod(first, order.per_shard)
+        n = min(last - first, order.per_shard - at)
+        with store.open_input_file(f"{path}/shard-{shard:08d}.bin") as file:
+            out.append(np.frombuffer(file.read_at(n * order.record, at * order.record), order.kind).reshape(n, order.length))
+        first += n
     return np.concatenate(out) if out else np.zeros((0, order.length), order.kind)
+
+
+def sequence_of(spark: SparkSession, folder: str, slot: int) -> int:
+    """The number of the sequence in a slot, by the inverse permutation."""
+    known = spark.read.schema(MANIFEST).parquet(f"{located(spark, folder)}/manifest").first()
+    return int(permute(np.array([slot]), known["n"], known["key"], inverse=True)[0])
