@@ -221,3 +221,13 @@ def segment_features(segments: DataFrame, properties: list[str]) -> DataFrame:
     return geojson_features(segments,
                             geometry.geojson_line(geometry.wkt_vertices(F.col("geometry_wkt"))),
                             properties)
+
+
+ROUTE_PROPERTIES = ["dseg_id", "street_name", "over_limit_pct", "mean_speed_kph", "speed_limit_kph"]
+
+
+def route_features(hours: DataFrame) -> DataFrame:
+    """GeoJSON features of the route's segments with the share of vehicles over the limit."""
+    from roadlens.sources.export import geojson_features
+    return geojson_features(segment_over_limit(hours),
+                            geometry.geojson_line(geometry.wkt_vertices(F.col("geometry_wkt"))), ROUTE_PROPERTIES)

@@ -17,12 +17,13 @@ from roadlens.functions import grid, metric
 from roadlens.functions.predicates import in_vintage
 from roadlens.operators.hours import measured
 from roadlens.params import Job
-from roadlens.operators import ordered
+from roadlens.operators import ordered, scales
 from roadlens.plans import claims_model, map_report, risk, segment_hours, speed_report, territory, volume_report
 from roadlens.session import durable, tune
-from roadlens.sources import colocated
+from roadlens.sources import colocated, export
+from roadlens.sources import tables as tables_module
 from roadlens.sources.tables import RoadTables
-from workload import adapters
+from workload import adapters, stated
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -334,9 +335,9 @@ def busiest_focus(spark, sf_dir):
 
 @register
 def busiest_at_focus(spark, sf_dir):
+    """The hundred busiest segments around the focus; volumes by day in hundredths, as text."""
     roads = _vintage(spark, sf_dir)
     box = speed_report.around_focus(volume_report.busiest_focus(roads), 0.12, 0.06)
-    """The hundred busiest segments around the focus; volumes by day in hundredths, as text."""
     hundredths = F.transform("aadt_by_day", lambda v: F.round(v * 100).cast("bigint").cast("string"))
     return volume_report.busiest_in(roads, box, 100).withColumn("aadt_by_day", F.array_join(hundredths, ","))
 
@@ -427,7 +428,7 @@ def signal_focus(spark, sf_dir):
 def driveable_at_focus(spark, sf_dir):
     focus = map_report.signal_focus(adapters.traffic_signals(spark, sf_dir))
     box = speed_report.around_focus(focus, 0.015, 0.01)
-    return map_report.driveable_in(_roads(spark, sf_dir), box).drop("geometry")
+    return map_report.driveable_in(_roads(spark, sf_dir), box).withColumn("geometry", F.hex("geometry"))
 
 
 @register
@@ -622,6 +623,7 @@ def feature_summary(spark, sf_dir):
 
 @register
 def weighting_gap(spark, sf_dir):
+    """With floors of 2 cells and 10 addresses; no postcode of the small extract has the 50 cells of the default."""
     return rounded(territory.weighting_gap(_territory(spark, sf_dir).features, 2, 10))
 
 
@@ -718,3 +720,155 @@ def contrasting_pair(spark, sf_dir):
     size_model = claims_model.fit_poisson(panel.filter(claims_model.is_train()),
                                           claims_model.feature_sets("collisions")["size"], "collisions")
     return rounded(claims_model.contrasting_pair(panel, features, size_model, _road_model(panel)))
+
+
+# What makes the models provable: slopes of zero, and closed forms on stated weights ----------
+
+@register
+def score_equations(spark, sf_dir):
+    """Of all ten fitted models: sums of predictions times feature, which are those of the counts."""
+    panel = _panel(spark, sf_dir)[0]
+    return rounded(claims_model.score_equations(panel, claims_model.month_models(panel)), default=3)
+
+
+def _folded(spark, sf_dir):
+    return durable(claims_model.with_folds(_panel(spark, sf_dir)[0], level=grid.LEVEL_FOR_RESOLUTION[4] + 3))
+
+
+@register
+def block_folds(spark, sf_dir):
+    return _folded(spark, sf_dir).groupBy("block", "fold").agg(F.count("*").alias("rows"))
+
+
+@register
+def stated_fold_scores(spark, sf_dir):
+    models = {"size": stated.SIZE_MODEL, "size + roads": stated.MODEL}
+    folded = _folded(spark, sf_dir)
+    scored = claims_model.fold_scores(folded, "collisions", {name: dict.fromkeys(range(fixed.BLOCK_FOLDS), m) for name, m in models.items()})
+    return rounded(scored, default=3)
+
+
+@register
+def stated_scores(spark, sf_dir):
+    models = {target: {"size": stated.SIZE_MODEL, "size + roads": stated.MODEL} for target in claims_model.TARGETS}
+    return rounded(claims_model.model_scores(_panel(spark, sf_dir)[0], models))
+
+
+@register
+def stated_contributions(spark, sf_dir):
+    return rounded(claims_model.contributions(_panel(spark, sf_dir)[0].filter(claims_model.is_test()), stated.MODEL))
+
+
+@register
+def stated_importance(spark, sf_dir):
+    pushes = claims_model.contributions(_panel(spark, sf_dir)[0].filter(claims_model.is_test()), stated.MODEL)
+    return rounded(claims_model.feature_importance(pushes, stated.MODEL))
+
+
+@register
+def stated_multipliers(spark, sf_dir):
+    return rounded(claims_model.territory_multipliers(_panel(spark, sf_dir)[0], stated.MODEL))
+
+
+@register
+def stated_effect_limit(spark, sf_dir):
+    return claims_model.effect_limit(claims_model.territory_multipliers(_panel(spark, sf_dir)[0], stated.MODEL))
+
+
+@register
+def stated_pair(spark, sf_dir):
+    panel, features = _panel(spark, sf_dir)
+    return rounded(claims_model.contrasting_pair(panel, features, stated.SIZE_MODEL, stated.MODEL))
+
+
+# Scales and exports of maps ---------------------------------------------------
+
+@register
+def scale_ends(spark, sf_dir):
+    """Ends of the scales of volumes and speeds per region, merged from sketches kept per tile and class."""
+    tiles = adapters.segments(spark, sf_dir).select("dseg_id", "region", "tile_id", "frc")
+    roads = tiles.join(_vintage(spark, sf_dir).select(F.col("segment_id").alias("dseg_id"), "aadt"), "dseg_id", "left") \
+        .join(_sums(spark, sf_dir).groupBy("dseg_id").agg(
+            F.try_divide(F.sum("harmonic_sum"), F.sum("hours")).alias("kph"), F.sum("hours").cast("double").alias("hours")), "dseg_id", "left")
+    columns = ["aadt", "kph", "hours"]
+    kept = durable(scales.sketches(roads, ["region", "tile_id", "frc"], columns))
+    return rounded(scales.ends(scales.merged(kept, ["region"], columns), ["region"],
+                               {"aadt": (0.05, 0.95), "kph": (0.1, 0.9), "hours": (0.02, 0.98)}))
+
+
+@register
+def route_features(spark, sf_dir):
+    return risk.route_features(_route(spark, sf_dir))
+
+
+@register
+def cell_features(spark, sf_dir):
+    layer = rounded(territory.cell_layer(_tables(spark, sf_dir), JOB, _cell()).select("cell", "map_km", "mean_speed_kph"), default=3)
+    return export.cell_features(layer, territory.LEVEL, ["map_km", "mean_speed_kph"])
+
+
+@register
+def postcode_outlines(spark, sf_dir):
+    """A feature per postcode: the squares of its assigned cells, with its features as properties."""
+    frames = _territory(spark, sf_dir)
+    shown = frames.features.select("postcode", "cells", F.round("addresses", 0).alias("addresses"))
+    return export.area_features(frames.nearest.join(shown, "postcode"), "postcode", territory.LEVEL, ["postcode", "cells", "addresses"])
+
+
+# Sources ----------------------------------------------------------------------
+
+@register
+def collisions_from_csv(spark, sf_dir):
+    """Collision reports written as a delimited file and read back by column name: reports per month and severity."""
+    path = f"{_folder(spark)}/collisions-{uuid.uuid4().hex}"
+    adapters.collision_reports(spark, sf_dir).withColumn("other", F.lit("x,y")) \
+        .select("date", "other", "collision_severity", "location_northing_osgr", "location_easting_osgr") \
+        .write.csv(path, header=True)
+    read = tables_module.collisions_csv(spark, path)
+    return read.groupBy("year", "month", "severity").agg(F.count("*").alias("reports"), F.round(F.avg("easting"), 2).alias("easting"))
+
+
+@register
+def catalog_counts(spark, sf_dir):
+    """Rows by class of one region, from tables named in the catalog, checked before the job starts."""
+    tag, job = uuid.uuid4().hex, replace(JOB, region="austin")
+    names = {}
+    for field, frame in (("segments", adapters.segments(spark, sf_dir)), ("volumes", adapters.volumes(spark, sf_dir))):
+        names[field] = f"{field}_{tag}"
+        frame.write.format("parquet").option("path", f"{_folder(spark)}/{names[field]}").saveAsTable(names[field])
+    cut = RoadTables.from_catalog(spark, names).slice(job)
+    tables_module.require_slice(cut.segments, job, "segments")
+    return speed_report.count_by(cut.segments, "frc").join(speed_report.count_by(cut.volumes, "frc", "estimates"), "frc", "left")
+
+
+@register
+def decimal_sums(spark, sf_dir):
+    """Kilometres by class added up as decimals and delivered as doubles."""
+    metres = F.col("length_m").cast("decimal(12,1)")
+    summed = adapters.segments(spark, sf_dir).groupBy("frc").agg(
+        (F.sum(metres) / 1000).cast("decimal(20,4)").alias("km"), F.max(metres).alias("longest_m"))
+    return export.decimals_to_double(summed)
+
+
+@register
+def major_roads_inside(spark, sf_dir):
+    focus = map_report.signal_focus(adapters.traffic_signals(spark, sf_dir))
+    box = speed_report.around_focus(focus, 0.15, 0.09)
+    return map_report.roads_inside(adapters.map_segments(spark, sf_dir), box, fixed.MAJOR_ROADS).select("road_class", F.hex("geometry").alias("geometry"))
+
+
+@register
+def signals_per_cell_in_box(spark, sf_dir):
+    signals = adapters.traffic_signals(spark, sf_dir)
+    box = speed_report.around_focus(map_report.signal_focus(signals), 0.15, 0.09)
+    return map_report.signals_per_cell(signals, grid.LEVEL_FOR_RESOLUTION[8], box)
+
+
+@register
+def cell_district(spark, sf_dir):
+    return territory.cell_postcode(adapters.map_segments(spark, sf_dir), replace(JOB, postcode_level="district"))
+
+
+@register
+def district_size(spark, sf_dir):
+    return territory.postcode_size(adapters.map_segments(spark, sf_dir), replace(JOB, postcode_level="district"))
