@@ -5,23 +5,24 @@ Strings are compared by the gap-weighted subsequence kernel of length 3: every t
 strings. An insult with a gap or an inserted character keeps most of its subsequences.
 
 The compared strings are the short units of a sentence: its words without surrounding punctuation and with a mark at their start, cut
-into overlapping windows where longer than 10 characters, and runs of single characters read as one
-word. A sentence is as toxic as its most toxic unit, a document as its most toxic sentence, so one
+into overlapping windows where longer than 10 characters; two neighbouring words of at most 10 characters together with the blank
+between them, because an insult may be torn in two; and runs of single characters read as one word. A sentence is as toxic as its most toxic unit, a document as its most toxic sentence, so one
 sentence decides in a text of any length.
 
 Training reads a bounded sample of labelled rows (`sample_rows`). Every sentence carries its document's
 label, which is wrong for most sentences of a toxic document. So units of toxic documents are called as
 witnesses (multiple-instance learning): those with a run of 4 or 5 characters that far more toxic than clean
-documents hold. Near copies among the toxic documents count once there, by a MinHash of their units, or
-they would call all their words. Witnesses and spelling
-variants of them are positive; units of clean documents are negative. Landmarks are drawn from both. A
-squared-hinge support vector machine is trained on the Nyström features, and a logistic curve on the
-sample's document margins turns margins into scores.
+documents hold, unless clean documents hold the unit itself. Near copies among the toxic documents count once there, by a MinHash of
+their units, or they would call all their words. Witnesses are positive, and so are their spellings with a gap, an inserted or
+doubled character or marks between all letters, cut into units like any text; units of clean documents are negative.
+Landmarks are drawn from all three. A squared-hinge support vector machine is trained on the Nyström features; then the clean
+units that it takes for insults join the negatives, or weigh more, and it is trained again, `mining_rounds` times. A logistic
+curve on the sample's document margins turns margins into scores.
 
 The decision is linear in the subsequences, so a new unit is scored by adding one number per
 subsequence, and a worker remembers units it has scored.
 
-Defined cases: NULL and blank text have no unit and get the lowest score, 0. Without a toxic or without a
+Defined cases: NULL, blank text and text of punctuation only have no unit and get the lowest score, 0. Without a toxic or without a
 clean label every score is 0. Repeated rows and
 labels count as often as they occur; NULL labels and ids are not used in training. Other columns are not read.
 """
@@ -44,6 +45,7 @@ from roadlens.llm.memory import Known
 SPAN = 5
 DECAY = 0.7
 LONGEST, STRIDE = 10, 5
+TORN = 10                    # letters of two neighbouring words that may be one
 RUNS = (4, 5)                # lengths of the character runs that find witnesses
 CLASSES = 64
 MOST_UNITS = 1_000_000
@@ -56,9 +58,16 @@ _SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)
 class Settings:
     sample_rows: int = 2500
     negatives: int = 6000
-    witnesses: int = 1000
-    landmarks: int = 192
+    witnesses: int = 400
+    spellings: int = 96          # training strings of each of the `spelt_in_full` witnesses of most documents, an eighth of it of the others
+    spelt_in_full: int = 40
+    landmarks: int = 512
     cost: float = 10.0           # mean cost of a positive string
+    mining_rounds: int = 4
+    mined: int = 2000            # clean units that join the negatives in each round
+    mined_from: float = -0.5     # their least margin
+    mined_weight: float = 3.0    # by which one weighs more in each round that it sounds like an insult
+    variant_cost: float = 6.0    # of all spellings of a witness together, over the cost of the witness
     negative_cost: float = 5.0   # total cost of the negatives over that of the positives
     least_favour: float = 5.0    # toxic documents per clean one (by rate, plus one) that make a run a witness's
     threshold: float = 0.7
@@ -89,6 +98,11 @@ def units_of(word: str) -> list[str]:
     return [core[i:i + LONGEST] for i in range(0, len(core) - STRIDE, STRIDE)]
 
 
+def pairs_of(words: list[str]) -> list[str]:
+    """Neighbouring words that are short enough to be halves of one, with the blank between them."""
+    return [f"{a} {b}" for a, b in zip(words, words[1:]) if len(a) + len(b) <= TORN and a.isalpha() and b[0].isalpha()]
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased words; runs of three and more single characters are one."""
     words = text.lower().split()
@@ -137,12 +151,17 @@ def embed(strings: list[str], columns: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _variants(word: str) -> list[str]:
-    """Spellings with one inserted character, a doubled letter, or a mark between all letters."""
-    out = [".".join(word), "-".join(word), "*".join(word)]
-    for i in range(2, len(word)):
-        out += [word[:i] + mark + word[i:] for mark in (".", "-", "*", "_", word[i])]
-    return [v[:LONGEST] for v in out]
+def variants(word: str) -> list[str]:
+    """Units of a word's spellings with a gap, one inserted or doubled character, or marks between all letters.
+
+    `word` is a unit, so what follows its start mark is spelt anew and then cut as any word is. An inserted letter is one of a
+    few that stand for all: the kernel sees the others as just as far away.
+    """
+    core = word[1:] if word.startswith(START) else word
+    spelt = [mark.join(core) for mark in (".", "-", "*", "_")]
+    for i in range(1, len(core)):
+        spelt += [core[:i] + mark + core[i:] for mark in (" ", ".", "-", "--", "*", "x", "e", "o", "7", "n", core[i])]
+    return sorted({u for v in spelt for u in units_of(v) if len(u) > 4} - {word})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -156,9 +175,12 @@ def _units_udf():
         for texts in batches:
             rows = []
             for text in texts:
-                units = sorted({u for w in set(words_of(text or "")) for u in units_of(w) if len(u) >= 3})
+                words = words_of(text or "")
+                units = sorted({u for w in {*words, *pairs_of(words)} for u in units_of(w) if len(u) >= 3})
                 runs: dict[str, str] = {}
                 for u in units:
+                    if " " in u:
+                        continue                             # the halves call for themselves
                     for n in RUNS:
                         for i in range(len(u) - n + 1):
                             runs.setdefault(u[i:i + n], u)
@@ -181,55 +203,102 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
 
 
+class Features:
+    """Kernels of strings with a fixed set of strings, a bounded number of strings at a time."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = strings
+        self.grams = np.unique(np.concatenate([g.ravel() for _, g, _ in subsequences(strings)]))
+        self.columns = np.full(CLASSES ** 3, -1, "int64")
+        self.columns[self.grams] = np.arange(len(self.grams))
+        self.base = embed(strings, self.columns, len(self.grams))
+
+    def kernels(self, strings: list[str], at_once: int = 512) -> np.ndarray:
+        """One row per string, one column per string of the set."""
+        parts = [embed(strings[i:i + at_once], self.columns, len(self.grams)) @ self.base.T for i in range(0, len(strings), at_once)]
+        return np.vstack(parts) if parts else np.zeros((0, len(self.strings)))
+
+
+def _spread(strings: list[str], n: int) -> list[str]:
+    """`n` of the strings, evenly over their order, or all of them."""
+    n = min(n, len(strings))
+    return [strings[i * len(strings) // n] for i in range(n)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> ToxicModel | None:
     from roadlens.llm.store import written
+    signature = F.array_min(F.transform("found.units", lambda u: F.xxhash64(u)))
     sample = written(_sample(docs, labels, settings).select("toxic", "text", _units_udf()(F.col("text")).alias("found"))
-                     .select("toxic", "text", "found.*").withColumn("doc", F.monotonically_increasing_id()), "toxicity-sample")
+                     .select("toxic", "text", "found.*", signature.alias("signature")).withColumn("doc", F.monotonically_increasing_id()),
+                     "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    copies = F.array_min(F.transform("units", lambda u: F.xxhash64(u)))
-    runs = sample.select("doc", "toxic", copies.alias("signature"), F.inline("runs"))
+    runs = sample.select("doc", "toxic", "signature", F.inline("runs"))
     expected = F.col("neg") * (sizes[1] / sizes[0])
     called = runs.groupBy("run").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.col("signature"))).alias("pos"),
                                      F.sum(1 - F.col("toxic")).alias("neg")) \
         .filter((F.col("pos") >= settings.least_favour * (1 + expected))
                 & (F.col("pos") - expected >= settings.least_favour * F.sqrt(1 + expected)))
+    clean = written(sample.filter("toxic = 0").select(F.explode("units").alias("unit")).groupBy("unit")
+                    .agg(F.count("*").alias("neg")), "toxicity-clean-units")
+    # A unit that clean documents hold too is none, whatever runs it shares with one; a few wrong labels do no harm.
     witnesses = runs.filter("toxic = 1").join(called, "run").groupBy("unit").agg(F.countDistinct("doc").alias("docs")) \
+        .join(clean, "unit", "left").filter(F.col("docs") >= settings.least_favour * F.coalesce("neg", F.lit(0))) \
         .orderBy(F.col("docs").desc(), "unit").limit(settings.witnesses).collect()
     positives = {r["unit"]: r["docs"] for r in witnesses}
     half = settings.negatives // 2
-    clean = written(sample.filter("toxic = 0").select(F.explode("units").alias("unit")).groupBy("unit")
-                    .agg(F.count("*").alias("neg")), "toxicity-clean-units")
     negatives = {r["unit"]: r["neg"] for part in (
         clean.orderBy(F.col("neg").desc(), "unit").limit(half),
-        clean.orderBy(F.xxhash64("unit"), "unit").limit(half)) for r in part.collect()}
+        clean.orderBy(F.xxhash64("unit"), "unit").limit(half)) for r in part.collect() if r["unit"] not in positives}
     if not positives or not negatives:
         return None
 
-    strings, signs, costs = [], [], []
-    for word, n in positives.items():
-        spelt = _variants(word)
-        strings += [word, *spelt]
-        signs += [1.0] * (1 + len(spelt))
-        costs += [float(n)] + [float(n) / len(spelt)] * len(spelt)
-    strings += list(negatives)
-    signs += [-1.0] * len(negatives)
-    costs = [c * settings.cost * len(costs) / sum(costs) for c in costs]
-    spread = settings.negative_cost * sum(costs) / sum(n ** 0.5 for n in negatives.values())
-    costs += [spread * n ** 0.5 for n in negatives.values()]
-    signs, costs = np.array(signs), np.array(costs)
-    leading = sorted(positives, key=lambda w: -positives[w])[:settings.landmarks // 2]
-    landmarks = leading + sorted(negatives, key=lambda w: (-negatives[w], w))[:settings.landmarks - len(leading)]
-    grams = np.unique(np.concatenate([g.ravel() for _, g, _ in subsequences(landmarks)]))
-    columns = np.full(CLASSES ** 3, -1, "int64")
-    columns[grams] = np.arange(len(grams))
-    base = embed(landmarks, columns, len(grams))
-    white = whitening(base @ base.T)
-    features = embed(strings, columns, len(grams)) @ base.T @ white
-    weights, bias = squared_hinge_svm(features, signs, costs)
-    by_gram = np.zeros(CLASSES ** 3)
-    by_gram[grams] = base.T @ (white @ weights)
+    by_docs = sorted(positives, key=lambda w: (-positives[w], w))
+    spellings = {w: _spread(variants(w), settings.spellings if i < settings.spelt_in_full else settings.spellings // 8)
+                 for i, w in enumerate(by_docs)}
+    # Landmarks: a quarter witnesses, half spellings of them, shared out by their documents, and the rest negatives, the most
+    # frequent ones and those most like a witness.
+    quarter = settings.landmarks // 4
+    leading = by_docs[:quarter]
+    heard = sum(positives[w] for w in leading)
+    spelt = [v for w in leading for v in _spread(spellings[w], round(2 * quarter * positives[w] / heard))]
+    like = dict(zip(negatives, Features(leading).kernels(list(negatives)).max(1).tolist()))
+    often = sorted(negatives, key=lambda w: (-negatives[w], w))[:quarter // 2]
+    close = sorted(set(negatives) - set(often), key=lambda w: (-like[w], w))[:settings.landmarks - len(leading) - len(spelt) - len(often)]
+    known = Features([*dict.fromkeys([*leading, *spelt, *often, *close])])
+    white = whitening(known.kernels(known.strings))
+
+    heard_as = [(u, positives[w] if u == w else settings.variant_cost * positives[w] / len(spellings[w]))
+                for w in by_docs for u in (w, *spellings[w])]
+    total = settings.cost * len(heard_as)
+    costs = np.array([c for _, c in heard_as])
+    costs *= total / costs.sum()
+    positive_rows = known.kernels([u for u, _ in heard_as]) @ white
+    negative_rows, weighed = known.kernels(list(negatives)) @ white, np.sqrt(list(negatives.values()))
+    for turn in range(settings.mining_rounds + 1):
+        weights, bias = squared_hinge_svm(
+            np.vstack([positive_rows, negative_rows]), np.repeat([1.0, -1.0], [len(positive_rows), len(negative_rows)]),
+            np.concatenate([costs, settings.negative_cost * total * weighed / weighed.sum()]))
+        by_gram = np.zeros(CLASSES ** 3)
+        by_gram[known.grams] = known.base.T @ (white @ weights)
+        if turn == settings.mining_rounds:
+            break
+        # Clean units that still sound like an insult join the negatives; those that are negatives already weigh more.
+        margin = unit_margins(ToxicModel(by_gram, bias, 1.0, 0.0))
+        wrong = clean.select("unit", "neg", margin(F.col("unit")).alias("m")).filter(F.col("m") > settings.mined_from) \
+            .orderBy(F.desc("m"), "unit").limit(settings.mined).collect()
+        if not wrong:
+            break
+        place = {u: i for i, u in enumerate(negatives)}
+        for r in wrong:
+            if r["unit"] in place:
+                weighed[place[r["unit"]]] *= settings.mined_weight
+        fresh = {r["unit"]: r["neg"] for r in wrong if r["unit"] not in negatives and r["unit"] not in positives}
+        negatives |= fresh
+        if fresh:
+            negative_rows = np.vstack([negative_rows, known.kernels(list(fresh)) @ white])
+            weighed = np.concatenate([weighed, settings.mined_weight * np.sqrt(list(fresh.values()))])
     model = ToxicModel(by_gram, bias, 1.0, 0.0)
     seen = sample.select("toxic", margins(model)(F.col("text")).alias("m")).toPandas()
     seen = seen[np.isfinite(seen["m"])]
@@ -249,7 +318,7 @@ class Scorer:
         self.known, self.margin = Known(self.words, ""), np.zeros(0)
 
     def unit_margins(self, units: list[str]) -> np.ndarray:
-        out = np.full(len(units), self.model.bias)
+        out = np.where(np.fromiter(map(len, units), "int64", len(units)) > 0, self.model.bias, -np.inf)
         for which, grams, weights in subsequences(units):
             out[which] += (self.model.gram_weights[grams] @ weights) / norms(grams, weights)
         return out
@@ -269,11 +338,22 @@ class Scorer:
         numbers = []
         for text in texts:
             words = words_of(text)
+            words = words + pairs_of(words)
             numbers.append(np.fromiter(map(self.known.__getitem__, words), "int64", len(words)))
         self._learn()
         return np.array([self.margin[n].max() if len(n) else -np.inf for n in numbers])
 
 
+def unit_margins(model: ToxicModel):
+    """A Pandas UDF from unit to its margin."""
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for units in batches:
+            yield pd.Series(scorer.unit_margins(units.to_list()))
+    return of
+
+
 def margins(model: ToxicModel):
     """A Pandas UDF from text to the document's margin."""
     @F.pandas_udf("double")
