@@ -9,7 +9,7 @@ roots and different texts different ones.
 The fingerprint is one string: root, a colon, and the short leaf digests (6 hex digits), paragraphs ended by a
 comma, or by a semicolon where a section closes. Two fingerprints can be compared without the texts:
 `likeness` is the Dice share of common leaf digests, `differing` lists the sections of one that the
-other does not hold.
+other does not hold, `edited_range` says how many these are and between which sections they lie.
 
 Defined cases: NULL is the empty text, which has one empty paragraph and no leaf; equal fingerprints
 have likeness 1, and of two unequal ones without common leaves it is 0. Repeated rows are fingerprinted
@@ -67,12 +67,26 @@ def likeness(a: Column, b: Column) -> Column:
         let(leaf_set(a), lambda x: let(leaf_set(b), lambda y: dice(x, y))))
 
 
+def sections(fp: Column) -> Column:
+    """The sections of a fingerprint, each by the short digests of its leaves."""
+    return F.split(F.substring_index(fp, ":", -1), ";", -1)
+
+
 def differing(a: Column, b: Column) -> Column:
     """1-based numbers of the sections of `a` that `b` does not hold: where the edits are."""
-    sections = lambda fp: F.split(F.substring_index(fp, ":", -1), ";", -1)
-    return let(sections(b), lambda other: F.filter(
-        F.transform(sections(a), lambda s, i: F.when(F.array_contains(other, s), 0).otherwise(i + 1)),
-        lambda i: i > 0))
+    return let(sections(a), lambda own: let(F.array_except(own, sections(b)), lambda missing: F.filter(
+        F.transform(own, lambda s, i: F.when(F.array_contains(missing, s), i + 1).otherwise(0)), lambda i: i > 0)))
+
+
+def edited_range(a: Column, b: Column) -> Column:
+    """struct<edited_sections, first_edited, last_edited>: how many different sections of `a` are not in `b`, and between which.
+
+    Found by set difference and search, in steps that follow the length of the text even when every section differs.
+    """
+    return let(sections(a), lambda own: let(F.array_except(own, sections(b)), lambda missing: F.struct(
+        F.size(missing).cast("long").alias("edited_sections"),
+        F.array_position(own, F.get(missing, F.lit(0))).alias("first_edited"),
+        F.array_position(own, F.get(missing, F.size(missing) - 1)).alias("last_edited"))))
 
 
 def _bucket(bounds: list) -> Column:
@@ -126,12 +140,13 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text, of its edited form, and their likenesses."""
+    """Fingerprints of each text, of its edited form, their likenesses, and the sections that the edit changed."""
     paired = with_next(docs).select("doc_id", "text", "fingerprint", F.col("next.fingerprint").alias("next_fp"),
                                     edited(F.col("text"), F.col("next.text")).alias("edited"))
     printed = paired.select("*", fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    return printed.select(
+    located = printed.withColumn("at", edited_range(F.col("fingerprint"), F.col("edited_fingerprint")))
+    return located.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"))
+        likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"), "at.*")

@@ -92,8 +92,11 @@ printed AS (SELECT k, doc_id, length(text) AS n_chars, sha256(edited) AS edited_
                    {string.replace('nodes', 'edited_nodes')} AS edited_fingerprint FROM own),
 pairs AS (SELECT *, coalesce(lead(fingerprint) OVER (ORDER BY k), first(fingerprint) OVER (ORDER BY k)) AS next_fp FROM printed)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-       {near('fingerprint', 'edited_fingerprint')} AS near_edited, {near('fingerprint', 'next_fp')} AS near_next
-FROM pairs"""
+       {near('fingerprint', 'edited_fingerprint')} AS near_edited, {near('fingerprint', 'next_fp')} AS near_next,
+       len(list_distinct(missing))::BIGINT AS edited_sections, list_min(places)::BIGINT AS first_edited, list_max(places)::BIGINT AS last_edited
+FROM (SELECT *, list_filter(own, lambda s: NOT list_contains(other, s)) AS missing,
+             list_transform(list_filter(own, lambda s: NOT list_contains(other, s)), lambda s: list_position(own, s)) AS places
+      FROM (SELECT *, string_split(split_part(fingerprint, ':', 2), ';') AS own, string_split(split_part(edited_fingerprint, ':', 2), ';') AS other FROM pairs))"""
 
 
 def _licenses() -> str:
