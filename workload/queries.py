@@ -831,7 +831,7 @@ def collisions_from_csv(spark, sf_dir):
 @register
 def catalog_counts(spark, sf_dir):
     """Rows by class of one region, from tables named in the catalog, checked before the job starts."""
-    tag, job = uuid.uuid4().hex, replace(JOB, region="austin")
+    tag, job = uuid.uuid4().hex, replace(JOB, region="london")
     names = {}
     for field, frame in (("segments", adapters.segments(spark, sf_dir)), ("volumes", adapters.volumes(spark, sf_dir))):
         names[field] = f"{field}_{tag}"
