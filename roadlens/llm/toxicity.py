@@ -48,7 +48,7 @@ LONGEST, STRIDE = 10, 5
 TORN = 10                    # letters of two neighbouring words that may be one
 RUNS = (4, 5)                # lengths of the character runs that find witnesses
 CLASSES = 64
-MOST_UNITS = 1_000_000
+MOST_UNITS = 200_000
 START = "^"                  # marks the beginning of a word: many insults are a stem and any ending
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
@@ -360,7 +360,7 @@ def margins(model: ToxicModel):
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
         for texts in batches:
-            parts = [scorer.margins([t or "" for t in texts[at:at + 256]]) for at in range(0, len(texts), 256)]
+            parts = [scorer.margins([t or "" for t in texts[at:at + 128]]) for at in range(0, len(texts), 128)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
     return of
 
