@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Grid level that comes closest in area to an H3 resolution around 50 degrees latitude.
-LEVEL_FOR_RESOLUTION = {4: 10, 6: 13, 8: 15, 9: 17}
+LEVEL_FOR_RESOLUTION = {4: 10, 6: 12, 8: 15, 9: 17}
 
 _H3_RESOLUTION_SHIFT = 52
 _H3_DIGITS = 15
