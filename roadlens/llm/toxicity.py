@@ -48,7 +48,7 @@ LONGEST, STRIDE = 10, 5
 TORN = 10                    # letters of two neighbouring words that may be one
 RUNS = (4, 5)                # lengths of the character runs that find witnesses
 CLASSES = 64
-MOST_UNITS = 200_000
+MOST_WORDS, MOST_PAIRS = 250_000, 150_000      # that a worker remembers; pairs of words are mostly new
 START = "^"                  # marks the beginning of a word: many insults are a stem and any ending
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SHAPES = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
@@ -306,42 +306,62 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return ToxicModel(by_gram, bias, slope, intercept)
 
 
-class Scorer:
-    """Margins of documents; remembers the margins of words."""
+class Heard:
+    """Margins of strings by their number, for as long as there are not too many; then all are forgotten."""
 
-    def __init__(self, model: ToxicModel):
-        self.model = model
+    def __init__(self, most: int):
+        self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.words: list[str] = []
-        self.known, self.margin = Known(self.words, ""), np.zeros(0)
+        self.strings: list[str] = []
+        self.known, self.margin = Known(self.strings, ""), np.zeros(0)
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, strings), "int64", len(strings))
+
+    def learn(self, score) -> None:
+        """The margin of each new string is that of its highest unit."""
+        units = [units_of(w) for w in self.strings[len(self.margin):]]
+        if units:
+            sizes = np.fromiter(map(len, units), "int64", len(units))
+            flat = score([u for part in units for u in part])
+            self.margin = np.concatenate([self.margin, np.maximum.reduceat(flat, np.cumsum(sizes) - sizes)])
+
+
+class Scorer:
+    """Margins of documents; remembers the margins of words and pairs of words.
+
+    The margin of a unit is the bias plus its kernel sum, where that is positive: what speaks against an insult in one unit
+    is silence, as a document is judged by its highest unit. So norms are needed for units with a positive sum only.
+    """
+
+    def __init__(self, model: ToxicModel):
+        self.model = model
+        self.words, self.pairs = Heard(MOST_WORDS), Heard(MOST_PAIRS)
 
     def unit_margins(self, units: list[str]) -> np.ndarray:
         out = np.where(np.fromiter(map(len, units), "int64", len(units)) > 0, self.model.bias, -np.inf)
         for which, grams, weights in subsequences(units):
-            out[which] += (self.model.gram_weights[grams] @ weights) / norms(grams, weights)
+            sums = self.model.gram_weights[grams] @ weights
+            some = np.flatnonzero(sums > 0)
+            if len(some):
+                out[which[some]] += sums[some] / norms(grams[some], weights)
         return out
 
-    def _learn(self) -> None:
-        new = self.words[len(self.margin):]
-        units = [units_of(w) for w in new]
-        sizes = np.fromiter(map(len, units), "int64", len(units))
-        flat = self.unit_margins([u for part in units for u in part])
-        if len(flat):
-            self.margin = np.concatenate([self.margin, np.maximum.reduceat(flat, np.cumsum(sizes) - sizes)])
-
     def margins(self, texts: list[str]) -> np.ndarray:
         """The largest margin of each text's units, minus infinity without any."""
-        if len(self.words) > MOST_UNITS:
-            self.forget()
         numbers = []
+        for heard in (self.words, self.pairs):
+            if len(heard.strings) > heard.most:
+                heard.forget()
         for text in texts:
             words = words_of(text)
-            words = words + pairs_of(words)
-            numbers.append(np.fromiter(map(self.known.__getitem__, words), "int64", len(words)))
-        self._learn()
-        return np.array([self.margin[n].max() if len(n) else -np.inf for n in numbers])
+            numbers.append((self.words.numbers(words), self.pairs.numbers(pairs_of(words))))
+        for heard in (self.words, self.pairs):
+            heard.learn(self.unit_margins)
+        highest = lambda margin, found: margin[found].max() if len(found) else -np.inf
+        return np.array([max(highest(self.words.margin, w), highest(self.pairs.margin, p)) for w, p in numbers])
 
 
 def unit_margins(model: ToxicModel):
