@@ -1,6 +1,9 @@
 """Running totals, ranks, quantiles and nearest cells against brute force, hot keys included."""
 
+import contextlib
+import io
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -96,6 +99,23 @@ def test_reach_is_exclusive_and_ties_go_to_the_smaller_cell(spark):
     assert got == {2: "four", 3: "nine"}
 
 
+def test_candidates_of_a_point_are_not_sorted(spark):
+    """A point leaves the join with its neighbour; the candidates, hundreds a point, stay inside an array."""
+    t = spark.range(40_000).selectExpr("id AS cell", "double(id % 200 * 10) AS easting", "double(id div 200 * 10) AS northing",
+                                       "concat('p', id) AS postcode")
+    p = spark.createDataFrame([(1, 333.0, 777.0), (2, 3300.0, 500.0), (3, 3490.0, 500.0), (4, None, 0.0), (1, 331.0, 774.0)],
+                              "id long, easting double, northing double")
+    near = nearest_within(p, t, ["id"], 1500.0, ["postcode"], "cell")
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        near.explain("formatted")
+    sorts = [part for part in text.getvalue().split("\n\n") if re.match(r"\n*\(\d+\) Sort\b", part)]
+    assert sorts and not any("_tie#" in part for part in sorts)
+    # Keys that come twice share one row, the nearer of both; the second point is served by the wide squares only.
+    assert sorted((r.id, r.postcode, round(r.distance_m, 3)) for r in near.collect()) \
+        == [(1, "p15433", round(17 ** 0.5, 3)), (2, "p10199", 1310.0)]
+
+
 def test_local_plane(spark):
     df = metric.local_plane(50.0)(spark.createDataFrame([(1.0, 50.0), (0.0, 50.0)], "lon double, lat double"))
     a, b = df.collect()
