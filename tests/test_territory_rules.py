@@ -2,6 +2,7 @@
 
 import struct
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from roadlens.params import Job
 from roadlens.plans import territory
 from roadlens.sources.tables import RoadTables, collisions_csv, located_collisions
 from tests import frames
+from tests.test_plans import plan
 
 JOB = Job(region="london", first_date=date(2025, 9, 1), last_date=date(2025, 9, 7), vintage_year=2025)
 MAP = ("region string, id string, subtype string, geometry binary, "
@@ -129,3 +131,16 @@ def test_features_weight_speed_by_traffic(spark):
     assert gap.gap_kph == pytest.approx(64.0)
     edges = spark.createDataFrame([("A",)], "postcode string")
     assert territory.postcode_features(assigned, sizes, edges, centres).count() == 0
+
+
+def test_collisions_are_placed_once_for_both_years(spark, monkeypatch):
+    features = spark.createDataFrame([("SW1 1", 5, 51.5, -0.1, *[1.0] * 10)], "postcode string, addresses long, lat double, lon double, "
+                                     + ", ".join(f"{name} double" for name in fixed.ROAD_FEATURES))
+    inside = spark.createDataFrame([(7, 0.0, 0.0, "SW1 1")], "cell long, easting double, northing double, postcode string")
+    reports = spark.createDataFrame([(10.0, 0.0, 2025, 3, 3), (10.0, 5.0, 2024, 5, 1)],
+                                    "easting double, northing double, year int, month int, severity int")
+    read, build = [], territory.collision_panel
+    monkeypatch.setattr(territory, "collision_panel", lambda placed, *rest: read.append(placed) or build(placed, *rest))
+    panel, _ = territory.claims_panel(SimpleNamespace(features=features, inside=inside), reports)
+    assert {(r.month, r.collisions, r.prior_collisions, r.prior_ksi) for r in panel.collect() if r.collisions} == {(3, 1, 1, 1)}
+    assert "Join" not in plan(read[0])
