@@ -3,7 +3,8 @@
 Both tables are cut into the same number of buckets by segment id and sorted inside a bucket. A join, or a
 group-by, on the segment id then reads bucket by bucket: no shuffle, whatever the size of either side. The
 hours are also partitioned by date (and by tile, where asked for), so a window or a region reads only its folders,
-and a new day is appended without touching the rest.
+and a new day is appended without touching the rest. Tiles are dealt over a fixed number of folders, so files do
+not multiply with the map.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from roadlens.sources.tables import RoadTables, catalog_table
 
 KEY = "dseg_id"
+TILE_FOLDER = "tile_folder"
+TILE_FOLDERS = 48       # with fewer tiles each has a folder of its own
 
 
 @dataclass(frozen=True)
@@ -26,7 +29,7 @@ class Layout:
     by_tile: bool = False
 
     def partitions(self) -> list[str]:
-        return (["tile_id"] if self.by_tile else []) + ["observation_date"]
+        return ([TILE_FOLDER] if self.by_tile else []) + ["observation_date"]
 
 
 def bucket_of(buckets: int) -> Column:
@@ -34,6 +37,11 @@ def bucket_of(buckets: int) -> Column:
     return F.pmod(F.hash(KEY), F.lit(buckets))
 
 
+def tile_folder() -> Column:
+    """The folder that the hours of a tile lie in."""
+    return F.pmod("tile_id", F.lit(TILE_FOLDERS)).cast("int")
+
+
 def write_segments(segments: DataFrame, name: str, layout: Layout, folder: str | None = None) -> None:
     """The segment table `name`; one file a bucket."""
     laid = segments.repartition(layout.buckets, KEY)
@@ -46,6 +54,8 @@ def write_hours(hours: DataFrame, name: str, layout: Layout, folder: str | None
     Rows are dealt out by date and bucket, so a date and bucket come from one task and are one file. A segment
     has at most 24 hours a date, so no key makes a task large.
     """
+    if layout.by_tile:
+        hours = hours.withColumn(TILE_FOLDER, tile_folder())
     laid = hours.repartition(*layout.partitions(), bucket_of(layout.buckets))
     _writer(laid, layout, folder).partitionBy(*layout.partitions()).mode("append" if append else "errorifexists").saveAsTable(name)
 
@@ -86,10 +96,12 @@ def attach(spark: SparkSession, name: str, folder: str, layout: Layout, schema:
 def cut_by_tiles(tables: RoadTables, most_tiles: int = 100_000) -> RoadTables:
     """The hours of the tiles that the segments lie in, pruned while the job runs.
 
-    A table partitioned by tile is pruned by the tiles of the other side when that side is broadcast. The distinct tiles
-    are counted first (one narrow pass over the segments) and broadcast only up to `most_tiles` of 8 bytes each; beyond, the join
-    is left to Spark.
+    A table partitioned by tile, or by the folders of tiles of this module, is pruned by the tiles of the other side when
+    that side is broadcast. The distinct tiles are counted first (one narrow pass over the segments) and broadcast only up to
+    `most_tiles` of 8 bytes each; beyond, the join is left to Spark.
     """
-    tiles = tables.segments.select("tile_id").distinct()
+    tiles, on = tables.segments.select("tile_id").distinct(), ["tile_id"]
+    if TILE_FOLDER in tables.hourly.columns:
+        tiles, on = tiles.withColumn(TILE_FOLDER, tile_folder()), [TILE_FOLDER, "tile_id"]
     small = tiles.limit(most_tiles + 1).count() <= most_tiles
-    return replace(tables, hourly=tables.hourly.join(F.broadcast(tiles) if small else tiles, "tile_id", "left_semi"))
+    return replace(tables, hourly=tables.hourly.join(F.broadcast(tiles) if small else tiles, on, "left_semi"))

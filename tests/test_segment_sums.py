@@ -192,3 +192,18 @@ def test_tiles_prune_the_hours_while_the_job_runs(spark, tmp_path):
     cut = colocated.cut_by_tiles(RoadTables(segments=r.filter("region = 'austin'"), hourly=h))
     assert "dynamicpruning" in plan(cut.hourly.groupBy("hour_utc").count())
     same(measured(h, r, job), measured(hours, roads.filter("dseg_id % 4 = 2"), JOB))
+
+
+def test_files_do_not_multiply_with_the_tiles(spark, tmp_path):
+    name, days, places = f"tiled_{uuid.uuid4().hex}", 2, 3 * colocated.TILE_FOLDERS
+    roads = frames.segments(spark, *[frames.segment(k) for k in range(places)]).withColumn("tile_id", F.col("dseg_id") * 7)
+    hours = frames.hours(spark, *[frames.hour(k, date(2025, 9, 1 + d)) for k in range(places) for d in range(days)]) \
+        .withColumn("tile_id", F.when(F.col("dseg_id") != 5, F.col("dseg_id") * 7))
+    colocated.write_hours(hours, name, colocated.Layout(buckets=2, by_tile=True), f"file://{tmp_path}/hours")
+    assert len(list(tmp_path.glob("hours/*/*/*.parquet"))) <= (colocated.TILE_FOLDERS + 1) * days * 2
+    roads.withColumn("region", F.when(F.col("dseg_id") % 48 < 6, "austin").otherwise("london")).write.parquet(f"{tmp_path}/roads")
+    austin = spark.read.parquet(f"{tmp_path}/roads").filter("region = 'austin'")
+    cut = colocated.cut_by_tiles(RoadTables(segments=austin, hourly=spark.table(name))).hourly
+    text = plan(cut.groupBy("hour_utc").count())
+    assert re.search(r"PartitionFilters: \[.*tile_folder.*dynamicpruning", text)
+    same(cut.select(*hours.columns), hours.filter("dseg_id % 48 < 6 AND dseg_id != 5"))
