@@ -138,15 +138,20 @@ def require_route(hours: DataFrame, way_ids: list[int], job: Job) -> DataFrame:
     return hours
 
 
-def trip_segments(trips: DataFrame, segments: DataFrame) -> DataFrame:
+TRIP_ROWS_PER_TASK = 500_000
+
+
+def trip_segments(trips: DataFrame, segments: DataFrame, rows_per_task: int = TRIP_ROWS_PER_TASK) -> DataFrame:
     """Segments of many matched trips: `trips` has `trip_id` and one `osm_way_id` per row.
 
     The array of way ids becomes rows and an equi-join, which shuffles by way id, where an array
-    overlap would compare every trip with every segment.
+    overlap would compare every trip with every segment. Nothing is made distinct before the join: its rows are
+    dealt by trip, over one task for every `rows_per_task` rows of `trips`, and each task drops the repeats
+    of its own trips. So the memory of a task stays the same however many trips there are.
     """
     ways = segments.select("dseg_id", F.explode("osm_way_ids").alias("osm_way_id"))
-    return trips.select("trip_id", "osm_way_id").distinct() \
-        .join(ways, "osm_way_id").select("trip_id", "dseg_id").distinct()
+    found = trips.select("trip_id", "osm_way_id").join(ways, "osm_way_id").select("trip_id", "dseg_id")
+    return found.repartition(trips.count() // rows_per_task + 1, "trip_id").distinct()
 
 
 def route_profile(hours: DataFrame) -> DataFrame:

@@ -191,6 +191,17 @@ def test_trips_find_their_segments_once(spark):
     assert sorted(map(tuple, risk.trip_segments(trips, roads).collect())) == [(1, 1), (1, 2), (2, 3)]
 
 
+def test_trips_are_dealt_over_as_many_tasks_as_their_rows_need(spark):
+    roads = frames.segments(spark, *[frames.segment(k, ways=[k, 2 * k]) for k in range(1, 30)])
+    rows = [(trip, 1 + (trip * 5 + i) % 12) for trip in range(100) for i in range(3)] * 2
+    trips = spark.createDataFrame([*rows, (None, 2), (None, 2), (7, None)], "trip_id long, osm_way_id long")
+    found = risk.trip_segments(trips, roads, rows_per_task=50)
+    assert found.rdd.getNumPartitions() == 603 // 50 + 1
+    want = {(trip, k) for trip, way in [*rows, (None, 2)] for k in range(1, 30) if way in (k, 2 * k)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_extent_covers_dates_outside_any_window(spark):
     days = [(date(2020, 1, 1), None), (date(2025, 9, 1), [1]), (date(2025, 9, 1), [2]), (date(2031, 1, 1), [3])]
     (row,) = speed_report.observation_extent(
