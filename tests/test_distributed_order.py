@@ -120,3 +120,25 @@ def test_local_plane(spark):
     df = metric.local_plane(50.0)(spark.createDataFrame([(1.0, 50.0), (0.0, 50.0)], "lon double, lat double"))
     a, b = df.collect()
     assert a.easting - b.easting == pytest.approx(71_474, rel=1e-2)
+
+
+def test_points_move_once_to_their_square_and_not_after(spark):
+    """One exchange by square serves close and far points; with `each_row` none follows the search."""
+    t = spark.createDataFrame([(1, 0.0, 0.0, "a"), (2, 1000.0, 0.0, "b")], "cell long, easting double, northing double, postcode string")
+    p = spark.createDataFrame([(5, 10.0, 0.0), (5, 999.0, 0.0), (6, -1400.0, 0.0), (7, 9000.0, 0.0), (8, None, 0.0)],
+                              "month int, easting double, northing double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = nearest_within(p, t, ["month"], 1500.0, ["postcode"], "cell", each_row=True)
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            near.explain("simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = text.getvalue().splitlines()
+    exchanges = [line for line in lines if "Exchange hashpartitioning" in line]
+    assert sum("Join" in line for line in lines) == 1
+    # The points once; the targets once by small square and once as candidates of the wide ones.
+    assert len(exchanges) == 3
+    assert sorted((r.month, r.postcode, r.distance_m) for r in near.collect()) == [(5, "a", 10.0), (5, "b", 1.0), (6, "a", 1400.0)]
