@@ -142,3 +142,31 @@ def test_points_move_once_to_their_square_and_not_after(spark):
     # The points once; the targets once by small square and once as candidates of the wide ones.
     assert len(exchanges) == 3
     assert sorted((r.month, r.postcode, r.distance_m) for r in near.collect()) == [(5, "a", 10.0), (5, "b", 1.0), (6, "a", 1400.0)]
+
+
+def test_targets_move_by_tile_and_are_copied_where_they_arrive(spark):
+    """The exchanges are by tile, so the nine copies of a target do not move; borders of tiles, negative sides too, hide none."""
+    rng = np.random.default_rng(8)
+    targets = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-15000, 15000, (250, 2)))]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([
+        rng.uniform(-16000, 16000, (250, 2)), rng.choice([-12012.0, -6006.0, 0.0, 6006.0], (50, 2)) + rng.uniform(-3, 3, (50, 2))]))]
+    t = spark.createDataFrame([(i, x, y, f"p{i}") for i, x, y in targets], "cell long, easting double, northing double, postcode string")
+    p = spark.createDataFrame(points, "id long, easting double, northing double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = nearest_within(p, t, ["id"], 1500.0, ["postcode"], "cell", each_row=True)
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            near.explain("simple")
+        got = {r.id: r.postcode for r in near.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [line for line in text.getvalue().splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("(_we#" in line for line in exchanges) and sum("(_tile#" in line or "(_home#" in line for line in exchanges) == 2
+    want = {}
+    for i, x, y in points:
+        distance, cell = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), cell) for cell, a, b in targets)
+        if distance < 1500:
+            want[i] = f"p{cell}"
+    assert got == want

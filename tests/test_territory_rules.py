@@ -144,3 +144,23 @@ def test_collisions_are_placed_once_for_both_years(spark, monkeypatch):
     panel, _ = territory.claims_panel(SimpleNamespace(features=features, inside=inside), reports)
     assert {(r.month, r.collisions, r.prior_collisions, r.prior_ksi) for r in panel.collect() if r.collisions} == {(3, 1, 1, 1)}
     assert "Join" not in plan(read[0])
+
+
+def test_reports_move_once_and_are_counted_where_they_arrive(spark):
+    labelled = spark.createDataFrame([(1, 0.0, 0.0, "SW1 1"), (2, 9000.0, 0.0, "SW1 2")],
+                                     "cell long, easting double, northing double, postcode string")
+    reports = spark.createDataFrame(
+        [(5.0, 5.0, 2025, 2, 1), (5.0, 5.0, 2025, 2, 3), (5.0, 5.0, 2025, 2, None), (5.0, 5.0, 2025, 3, None), (-5.0, 5.0, 2025, 2, 2),
+         (9001.0, 0.0, 2024, 2, 2), (4500.0, 0.0, 2024, 2, 2), (None, 5.0, 2025, 2, 1)],
+        "easting double, northing double, year int, month int, severity int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = territory.placed_collisions(reports, labelled, labelled.select("postcode"))
+        exchanges = [line for line in plan(placed).splitlines() if "Arguments: hashpartitioning(" in line]
+        rows = placed.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The reports once, the labels by small square and by tile, then placed rows and features by postcode.
+    assert sum("_home#" in line for line in exchanges) == 1 and not any("(easting#" in line for line in exchanges)
+    assert sorted(tuple(r) for r in rows) == [("SW1 1", 2025, 2, 4, 2), ("SW1 1", 2025, 3, 1, 0), ("SW1 2", 2024, 2, 1, 1)]
