@@ -1,11 +1,16 @@
 """Roads north of latitude 61, where the published area of the British grid ends and its plane goes on."""
 
 import math
+from types import SimpleNamespace
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from roadlens import fixed
 from roadlens.functions import metric
+from roadlens.operators import ordered
+from workload import queries
 from workload.check import differences, oracle_rows
 from workload.oracle import oracle_sql
 from workload.queries import QUERIES
@@ -14,8 +19,8 @@ from workload.views_sql import with_national_grid
 # Forty map blocks of the adapters, in two rows, the southern one from latitude 61.1 on.
 FIRST, LAST = 330 * 20, 332 * 20
 TABLES = {
-    "part": f"""SELECT k AS p_partkey, 'part ' || k AS p_name, 'form ' || (k % 6) AS p_type, (k * 7 % 50 + 1)::INTEGER AS p_size
-                FROM range({FIRST * 245}, {LAST * 245}, 2) t(k)""",
+    "part": f"""SELECT k AS p_partkey, 'part ' || k AS p_name, 'form ' || (k % 6) AS p_type, (k * 7919 // 13 % 50 + 1)::INTEGER AS p_size
+                FROM range({FIRST * 245}, {LAST * 245}) t(k)""",
     "orders": f"SELECT k AS o_orderkey FROM range({FIRST * 1838}, {LAST * 1838}, 5) t(k)",
     "lineitem": f"""SELECT i * 3 AS l_orderkey, {FIRST * 245} + i * 11 % {(LAST - FIRST) * 245} AS l_partkey, (i % 7 + 1)::INTEGER AS l_linenumber,
                            (i * 13 % 50 + 1)::DOUBLE AS l_quantity, (i % 11 / 100)::DOUBLE AS l_discount, (i % 9 / 100)::DOUBLE AS l_tax
@@ -68,3 +73,32 @@ def test_other_places_are_refused(spark, place):
 def test_block_scores(spark, north):
     rows = QUERIES["block_scores"](spark, north).collect()
     assert len(rows) == 5 and all(r.folds == 5 for r in rows)
+
+
+def test_size_tracking(spark, north):
+    """Shares that are equal but for the order of their additions may rank apart, so ranks agree closely, not to the last digit."""
+    made = {r.feature: r.correlation for r in QUERIES["size_tracking"](spark, north).collect()}
+    _, _, expected = oracle_rows(north, oracle_sql()["size_tracking"])
+    assert made == pytest.approx(dict(expected), abs=0.002)
+
+
+def test_size_tracking_builds_the_features_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        read.add(1)
+        return value
+
+    rows = [(f"p{i}", i, *[float(i * j % 7) for j in range(len(fixed.ROAD_FEATURES))]) for i in range(20)]
+    made = spark.createDataFrame(rows, ["postcode", "size", *fixed.ROAD_FEATURES])
+    features = made.withColumn("addresses", counted.asNondeterministic()(F.col("size").cast("double")))
+    monkeypatch.setattr(queries, "_territory", lambda *_: SimpleNamespace(features=features))
+    assert len(QUERIES["size_tracking"](spark, "").collect()) == len(fixed.ROAD_FEATURES)
+    assert read.value == len(rows)
+
+
+def test_a_column_that_does_not_vary_has_no_correlation(spark):
+    rows = spark.createDataFrame([("p", 1.0, 5.0, 2.0), ("q", 2.0, 5.0, 4.0), ("r", 3.0, 5.0, 3.0)], "key string, size double, same double, other double")
+    found = ordered.rank_correlation(rows, "key", "size", ["same", "other"]).collect()
+    assert {r.feature: r.correlation for r in found} == {"same": None, "other": pytest.approx(0.5)}
