@@ -75,6 +75,14 @@ def test_block_scores(spark, north):
     assert len(rows) == 5 and all(r.folds == 5 for r in rows)
 
 
+@pytest.mark.parametrize("name", ["score_equations"])
+def test_same_rows_as_the_sql(spark, north, name):
+    frame = QUERIES[name](spark, north)
+    rows = [tuple(row) for row in frame.collect()]
+    names, _, expected = oracle_rows(north, oracle_sql()[name])
+    assert rows and differences(frame.columns, rows, names, expected) is None
+
+
 def test_size_tracking(spark, north):
     """Shares that are equal but for the order of their additions may rank apart, so ranks agree closely, not to the last digit."""
     made = {r.feature: r.correlation for r in QUERIES["size_tracking"](spark, north).collect()}
