@@ -75,7 +75,7 @@ def test_block_scores(spark, north):
     assert len(rows) == 5 and all(r.folds == 5 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["score_equations"])
+@pytest.mark.parametrize("name", ["score_equations", "stated_effect_limit"])
 def test_same_rows_as_the_sql(spark, north, name):
     frame = QUERIES[name](spark, north)
     rows = [tuple(row) for row in frame.collect()]
